@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import checkpoint_dir, durable  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,21 +21,6 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", "") or ""
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder, as a plain path, that the driver and all executors can open.
 
