@@ -127,12 +127,13 @@ def fit_languages(docs: DataFrame, fit: Fit = Fit()) -> LanguageModel:
     return LanguageModel(names, tuple(dictionary([letters(t) for t in sample[x]], fit) for x in names), fit.level)
 
 
-def language_id(docs: DataFrame, model: LanguageModel, min_margin: float = 0.005) -> DataFrame:
+def language_id(docs: DataFrame, model: LanguageModel, min_margin: float = 0.002, min_bytes: int = 64) -> DataFrame:
     """``docs`` with lang_pred, score and accepted.
 
     score is (second smallest size - smallest) / second smallest, within 0 to 1. Texts without a letter,
     null ones included, get ``und`` and score 0, as do all texts if no language was learned; they and
-    texts with a score under ``min_margin`` are not accepted. Equal sizes go to the language with
+    texts with a score under ``min_margin`` are not accepted. Texts with less than ``min_bytes`` bytes of letters
+    are too short for whole bytes to tell and are not rejected for their margin. Equal sizes go to the language with
     more learned rows, then to the first in code point order. With a single language its score is 1.
     """
     names, dictionaries, level = model.languages, list(model.dictionaries), model.level
@@ -143,11 +144,12 @@ def language_id(docs: DataFrame, model: LanguageModel, min_margin: float = 0.005
         def one(text):
             if not names or not text or not any(map(str.isalpha, text)):
                 return "und", 0.0, False
-            sizes = packer.sizes(to_bytes(letters(text)))
+            raw = to_bytes(letters(text))
+            sizes = packer.sizes(raw)
             best = min(range(len(sizes)), key=sizes.__getitem__)
             second = min(sizes[:best] + sizes[best + 1 :], default=0)
             score = (second - sizes[best]) / second if second else 1.0
-            return names[best], score, score >= min_margin
+            return names[best], score, score >= min_margin or len(raw) < min_bytes
 
         return one
 
