@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, partitions, shared_folder, to_bytes
 
-END, BATCH_TOKENS, NO_BACKOFF = b" end", 4_000_000, 65535
+END, BATCH_TOKENS, NO_BACKOFF = b" end", 2_000_000, 65535
 _STEP = 12.0 / 65534  # log10 probabilities from -12 to 0 in 16 bits
 
 
@@ -178,7 +178,7 @@ class Levels:
         h = word_hash(word)
         at = int(self.hashes.searchsorted(h))
         found = at if at < self.words_n and self.hashes[at] == h else -1
-        if len(self.ids) > 500_000:
+        if len(self.ids) > 300_000:
             self.ids.clear()
         self.ids[word] = found
         return found
@@ -226,13 +226,12 @@ def opened(folder: str, words: int, total: int, chunk: int) -> Levels:
     return Levels(folder, words, total, chunk)
 
 
-def _batches(texts: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
-    """(row, tokens) in lists of at least ``size`` tokens, the last excepted."""
+def _batches(texts: Iterator[tuple], levels: Levels, size: int) -> Iterator[list[tuple]]:
+    """(row, token ids) in lists of at least ``size`` tokens, the last excepted."""
     held, n = [], 0
     for row, text in texts:
-        words = tokens(text)
-        held.append((row, words))
-        n += len(words)
+        held.append((row, np.array(levels.encode(tokens(text)), np.int64)))
+        n += len(held[-1][1])
         if n >= size:
             yield held
             held, n = [], 0
@@ -255,7 +254,7 @@ def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000)
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(tokens(t))
-            if len(seen) > 400_000:
+            if len(seen) > 250_000:
                 yield flush()
                 seen.clear()
         yield flush()
@@ -293,9 +292,8 @@ def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000)
 
     def count_pairs(batches):
         levels = Levels(*model)
-        for held in _batches(((None, t) for b in batches for t in b.column(0).to_pylist()), BATCH_TOKENS):
-            keys = np.concatenate([_keys(np.array(levels.encode(w), np.int64), words) for _, w in held])
-            del held
+        for held in _batches(((None, t) for b in batches for t in b.column(0).to_pylist()), levels, BATCH_TOKENS):
+            keys = np.concatenate([_keys(ids, words) for _, ids in held])
             keys, n = np.unique(keys, return_counts=True)
             owner = (keys >> 32) // chunk
             which, first = np.unique(owner, return_index=True)
@@ -356,9 +354,9 @@ def scores(docs: DataFrame, model: tuple[str, int, int, int], carry: list[str])
     def run(batches):
         levels = opened(folder, words, total, chunk)
         rows = ((r, t) for b in batches for r, t in zip(zip(*(b.column(i).to_pylist() for i in range(len(carry))), strict=True), b.column(len(carry)).to_pylist(), strict=True))
-        for held in _batches(rows, BATCH_TOKENS):
-            n = np.array([len(w) for _, w in held])
-            ids = np.fromiter((i for _, w in held for i in levels.encode(w)), np.int64, int(n.sum()))
+        for held in _batches(rows, levels, BATCH_TOKENS):
+            n = np.array([len(ids) for _, ids in held])
+            ids = np.concatenate([ids for _, ids in held])
             first = np.cumsum(n) - n
             context = np.concatenate(([0], ids[:-1]))
             context[first] = words
