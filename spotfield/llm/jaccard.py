@@ -13,8 +13,8 @@ have them, partners share one among the first k + 1 of each. Documents of which
 occur elsewhere have no partner and leave. Signatures travel as packed arrays, dealt by signature, then by
 document, then by signature again; equal sets count once all the way.
 
-Links are found in two steps, both verified on the texts. First every document meets the smallest document of
-its commonest signature groups. Then, wherever a signature still joins documents of different components,
+Links are found in steps, all verified on the texts. First every document meets the hubs of its commonest
+signature groups, twice. Then, wherever a signature still joins documents of different components,
 all pairs across components are compared. So no group of copies is expanded into pairs and no link between
 different components is lost.
 """
@@ -77,6 +77,11 @@ def differing(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def differing_bound(meta: np.ndarray, percent: int) -> np.ndarray:
+    """About k, from packed sizes; only the order of shares needs it."""
+    return ((meta >> np.uint64(32)).astype(np.int64) * 2 * (100 - percent)) // (100 + percent)
+
+
 def band_of(size: int) -> int:
     return 0 if size < SMALL else size.bit_length() - 1
 
@@ -152,8 +157,8 @@ def sized_sets(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int) -> DataFrame:
-    """Rows of kind 0: packed (signature, set, size) that later steps have to look at; kind 1: packed first pairs of sets;
-    kind 2: a document whose filled parts are too few for its band, so ``refine`` has to grow."""
+    """Packed (signature, set, size and share of its signatures that others have) that later steps have to look at.
+    A document whose filled parts are too few for its band raises REFINE: the parts have to become finer."""
     spark = docs.sparkSession
     many = np.uint64(shards)
 
@@ -194,17 +199,16 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int)
             first = _groups(sig)
             count = np.diff(np.append(first, len(sig)))
             each = np.repeat(count, count)
-            least = np.repeat(sets[first], count)  # sets are sorted within a signature
             keep = each > 1
             if keep.any():
                 key = np.uint64(shard) << np.uint64(32) | sig[keep].astype(np.uint64)
-                yield _pack(0, sets[keep].view(np.uint64) % many, key, sets[keep], meta[keep], each[keep].astype(np.uint32), least[keep])
+                yield _pack(0, sets[keep].view(np.uint64) % many, key, sets[keep], meta[keep], each[keep].astype(np.uint32))
 
     def chosen(batches):
-        for _, (key, sets, meta, count, least) in _by_shard(batches, ["<u8", "<i8", "<u8", "<u4", "<i8"]):
+        for _, (key, sets, meta, count) in _by_shard(batches, ["<u8", "<i8", "<u8", "<u4"]):
             band = (meta >> np.uint64(26)) & np.uint64(63)
             order = np.lexsort((key, count, band, sets))
-            key, sets, meta, least, band = key[order], sets[order], meta[order], least[order], band[order]
+            key, sets, meta, band = key[order], sets[order], meta[order], band[order]
             first = _groups(sets, band)
             n_shared = np.diff(np.append(first, len(key)))
             need = (meta[first] & np.uint64((1 << 26) - 1)).astype(np.int64)
@@ -212,20 +216,10 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int)
             keep &= np.repeat(n_shared >= need, n_shared)
             if not keep.any():
                 continue
-            key, sets, meta, least = key[keep], sets[keep], meta[keep], least[keep]
-            yield _pack(0, sets.view(np.uint64) % many, key, sets, (meta >> np.uint64(32)).astype(np.uint32))
-            a, b = least[least != sets], sets[least != sets]
-            if not len(a):
-                continue
-            order = np.lexsort((a, b))
-            a, b = a[order], b[order]
-            first = _groups(b, a)
-            times = np.diff(np.append(first, len(a)))
-            a, b = a[first], b[first]
-            order = np.lexsort((a, -times, b))
-            a, b = a[order], b[order]
-            rank = np.arange(len(b)) - np.repeat(_groups(b), np.diff(np.append(_groups(b), len(b))))
-            yield _pack(1, b[rank < 2].view(np.uint64) % many, a[rank < 2], b[rank < 2], np.zeros(int((rank < 2).sum()), np.uint32))
+            parts = need + differing_bound(meta[first], percent)
+            rank = (n_shared * 65535 // np.maximum(parts, 1)).astype(np.uint64)
+            packed = (meta >> np.uint64(32)) | np.repeat(rank, n_shared) << np.uint64(32)
+            yield _pack(0, sets[keep].view(np.uint64) % many, key[keep], sets[keep], packed[keep])
 
     def _good(batches):
         for b in batches:
@@ -235,35 +229,25 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int)
 
     width = min(shards, 4 * partitions(spark))
     signed = docs.select("text").mapInArrow(sign, _schema(3)).repartition(width, "shard").sortWithinPartitions("shard")
-    rare = signed.mapInArrow(shared, _schema(5)).repartition(width, "shard").sortWithinPartitions("shard")
+    rare = signed.mapInArrow(shared, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
     return durable(rare.mapInArrow(chosen, _schema(3)))
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in row[2:4]], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _across(candidates: DataFrame, components: DataFrame, percent: int, shards: int) -> DataFrame:
-    """Pairs of sets that share a kept signature, could link by size and are in different components."""
-    spark = candidates.sparkSession
+def _bucketed(candidates: DataFrame, components: DataFrame | None, shards: int) -> DataFrame:
+    """The candidates dealt by signature, each set with its component (itself without links)."""
     many = np.uint64(shards)
-    width = min(shards, 4 * partitions(spark))
+    width = min(shards, 4 * partitions(candidates.sparkSession))
 
     def pack_components(batches):
         for b in batches:
             if b.num_rows:
                 node, component = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-                yield _pack(-1, node.view(np.uint64) % many, component, node, np.zeros(len(node), np.uint32))
+                yield _pack(-1, node.view(np.uint64) % many, component, node, np.zeros(len(node), np.uint64))
 
     def label(batches):  # rows sorted by shard, then kind: the components come first
         now, nodes, names = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            for kind, shard, x, sets, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for kind, shard, x, sets, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != now:
                     now, nodes, names = shard, np.zeros(0, np.int64), np.zeros(0, np.int64)
                 sets = np.frombuffer(sets, "<i8")
@@ -277,32 +261,92 @@ def _across(candidates: DataFrame, components: DataFrame, percent: int, shards:
                     at = np.minimum(np.searchsorted(nodes, sets), len(nodes) - 1)
                     name = np.where(nodes[at] == sets, names[at], sets)
                 key = np.frombuffer(x, "<u8")
-                yield _pack(0, key >> np.uint64(32), key, sets, np.frombuffer(size, "<u4"), name)
+                yield _pack(0, key >> np.uint64(32), key, sets, np.frombuffer(packed, "<u8"), name)
+
+    rows = candidates
+    if components is not None:
+        rows = rows.unionByName(components.select("node", "component").mapInArrow(pack_components, _schema(3))).repartition(width, "shard").sortWithinPartitions("shard", "kind")
+    return rows.mapInArrow(label, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
+
+
+def _open_buckets(batches: Iterator[pa.RecordBatch]):
+    """(sets, sizes, shares, components, starts, ends) of each shard's signatures that join different components."""
+    for _, (key, sets, packed, name) in _by_shard(batches, ["<u8", "<i8", "<u8", "<i8"]):
+        order = np.lexsort((sets, key))
+        key, sets, packed, name = key[order], sets[order], packed[order], name[order]
+        once = _groups(key, sets)
+        key, sets, packed, name = key[once], sets[once], packed[once], name[once]
+        first = _groups(key)
+        ends = np.append(first[1:], len(key))
+        apart = np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)
+        size = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        yield sets, size, (packed >> np.uint64(32)).astype(np.int64), name, first[apart], ends[apart]
+
+
+def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, shards: int, most: int = 2) -> DataFrame:
+    """For each set in an open bucket the ``most`` commonest hubs of its buckets, out of its component. A bucket's hub is the
+    set of which the largest share of signatures occurs elsewhere, which an original has over its edited copies."""
+    many = np.uint64(shards)
+
+    def hubs(batches):
+        for sets, size, share, name, first, ends in _open_buckets(batches):
+            a, b = [], []
+            for lo, hi in zip(first, ends, strict=True):
+                hub = lo + int(np.argmax(share[lo:hi]))
+                ok = (name[lo:hi] != name[hub]) & (100 * np.minimum(size[lo:hi], size[hub]) >= percent * np.maximum(size[lo:hi], size[hub]))
+                b.append(sets[lo:hi][ok])
+                a.append(np.full(int(ok.sum()), sets[hub]))
+            if a and sum(map(len, a)):
+                b = np.concatenate(b)
+                yield _pack(0, b.view(np.uint64) % many, np.concatenate(a), b)
+
+    def commonest(batches):
+        for _, (a, b) in _by_shard(batches, ["<i8", "<i8"]):
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            first = _groups(b, a)
+            times = np.diff(np.append(first, len(a)))
+            a, b = a[first], b[first]
+            order = np.lexsort((a, -times, b))
+            a, b = a[order], b[order]
+            first = _groups(b)
+            keep = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b)))) < most
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    width = min(shards, 4 * partitions(candidates.sparkSession))
+    found = _bucketed(candidates, components, shards).mapInArrow(hubs, _schema(2)).repartition(width, "shard").sortWithinPartitions("shard")
+    return found.mapInArrow(commonest, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(candidates: DataFrame, components: DataFrame, percent: int, shards: int) -> DataFrame:
+    """All pairs of sets that share a kept signature, could link by size and are in different components."""
 
     def pairs(batches):
-        for _, (key, sets, size, name) in _by_shard(batches, ["<u8", "<i8", "<u4", "<i8"]):
-            order = np.lexsort((sets, key))
-            key, sets, size, name = key[order], sets[order], size[order].astype(np.int64), name[order]
-            once = _groups(key, sets)
-            key, sets, size, name = key[once], sets[once], size[once], name[once]
-            first = _groups(key)
-            ends = np.append(first[1:], len(key))
-            mixed_ = np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)
-            seen: set[bytes] = set()
-            for lo, hi in zip(first[mixed_], ends[mixed_], strict=True):
+        for sets, size, _, name, first, ends in _open_buckets(batches):
+            seen, a, b = set(), [], []
+            for lo, hi in zip(first, ends, strict=True):
                 s, z, c = sets[lo:hi], size[lo:hi], name[lo:hi]
-                same = s.tobytes()
-                if same in seen:
+                if (same := s.tobytes()) in seen:
                     continue
                 seen.add(same)
                 for i in range(len(s) - 1):
                     ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(z[i + 1 :], z[i]) >= percent * np.maximum(z[i + 1 :], z[i]))
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), s[i])), pa.array(s[i + 1 :][ok])], ["a", "b"])
+                    a.append(np.full(int(ok.sum()), s[i]))
+                    b.append(s[i + 1 :][ok])
+                if sum(map(len, a[-1000:])) > 500_000:
+                    yield from once(a, b)
+                    a, b = [], []
+            yield from once(a, b)
+
+    def once(a, b):
+        if a and sum(map(len, a)):
+            a, b = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            first = _groups(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
-    rows = candidates.where("kind = 0").unionByName(components.select("node", "component").mapInArrow(pack_components, _schema(3)))
-    labelled = rows.repartition(width, "shard").sortWithinPartitions("shard", "kind").mapInArrow(label, _schema(4))
-    return labelled.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(pairs, "a long, b long").distinct()
+    return _bucketed(candidates, components, shards).mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, few: int = 1_000_000) -> DataFrame:
@@ -355,13 +399,20 @@ def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             if "REFINE" not in str(e) or refine > 8:
                 raise
             refine += 1
-    pairs = durable(_unpacked(candidates.where("kind = 1")).distinct())
-    links = _verified(pairs, placed, where, n, percent)
-    found = durable(connected_components(links, "a", "b"))
-    more = durable(_across(candidates, found, percent, shards).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, placed, where, n, percent))
+    links, found, tried = None, None, None
+    for step in (_hubs, _hubs, _across):
+        pairs = step(candidates, found, percent, shards)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if step is _across or tried is None:
+                break
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = _verified(pairs, placed, where, n, percent)
+        links = new if links is None else links.unionByName(new)
         found = durable(connected_components(links, "a", "b"))
+    if found is None:
+        found = spark.createDataFrame([], "node long, component long")
     member = classes.join(found, classes["set"] == found["node"], "left").select("set", "first", F.coalesce("component", "set").alias("component"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(least, "component").select("set", "component_id")
