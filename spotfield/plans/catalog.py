@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import field_queries
+
+QUERIES = {**field_queries.QUERIES}
+ORACLES = {**field_queries.ORACLES}
