@@ -6,6 +6,8 @@ written to the shared checkpoint folder. The number of rounds grows with the log
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,31 @@ def connected_components(edges: DataFrame, a: str = "i", b: str = "j", max_round
             raise RuntimeError("components did not settle")
     roots = now.select(F.col("lo").alias("node")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def components_by_sample(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+    """(sample, spot, component) from edges (sample, i, j); components are named by their smallest spot.
+
+    Samples are independent, so where none has more than ``most_edges`` edges each is solved in one task; beyond that the
+    star contraction runs over all samples at once. Both give the same result.
+    """
+    edges = durable(edges.select("sample", "i", "j").where("i <> j"))
+    largest = edges.groupBy("sample").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_edges:
+        node = lambda c: F.struct("sample", F.col(c).alias("spot"))
+        return connected_components(edges.select(node("i").alias("i"), node("j").alias("j"))).select("node.sample", "node.spot", F.col("component.spot").alias("component"))
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        spots, ends = np.unique(rows[["i", "j"]].to_numpy(), return_inverse=True)
+        ends, name = ends.reshape(-1, 2), np.arange(len(spots))
+        while True:  # hook the larger name onto the smaller one, then shorten all chains
+            a, b = name[ends[:, 0]], name[ends[:, 1]]
+            new = name.copy()
+            np.minimum.at(new, np.maximum(a, b), np.minimum(a, b))
+            while (new != new[new]).any():
+                new = new[new]
+            if (new == name).all():
+                return pd.DataFrame({"sample": rows["sample"].iloc[0], "spot": spots, "component": spots[name]})
+            name = new
+
+    return edges.groupBy("sample").applyInPandas(solve, "sample string, spot long, component long")

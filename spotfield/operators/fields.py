@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import EPS, percentile
-from .components import connected_components
+from .components import components_by_sample
 from .neighbors import symmetric
 
 
@@ -37,8 +37,7 @@ def mask_components(masked: DataFrame, edges: DataFrame, mask: str) -> DataFrame
     """(sample, component, size) of the sub-graph that a mask keeps; components are named by their smallest spot."""
     on = masked.where(F.col(mask)).select("sample", "spot")
     inner = edges.join(on.withColumnRenamed("spot", "i"), ["sample", "i"], "left_semi").join(on.withColumnRenamed("spot", "j"), ["sample", "j"], "left_semi")
-    node = lambda c: F.struct("sample", F.col(c).alias("spot"))
-    found = connected_components(inner.select(node("i").alias("i"), node("j").alias("j"))).select("node.sample", "node.spot", F.col("component.spot").alias("component"))
+    found = components_by_sample(inner)
     return on.join(found, ["sample", "spot"], "left").groupBy("sample", F.coalesce("component", "spot").alias("component")).agg(F.count(F.lit(1)).alias("size"))
 
 

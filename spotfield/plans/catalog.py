@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from . import field_queries
+from . import field_queries, inference_queries
 
-QUERIES = {**field_queries.QUERIES}
-ORACLES = {**field_queries.ORACLES}
+QUERIES = {**field_queries.QUERIES, **inference_queries.QUERIES}
+ORACLES = {**field_queries.ORACLES, **inference_queries.ORACLES}
