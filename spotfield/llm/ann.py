@@ -80,7 +80,7 @@ def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (dims[0]["d"] if dims else 0))
 
 
-def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, sample_rows: int = 20_000, most_lists: int = 2048, probe_share: float = 0.7, block_rows: int = 4096, query_rows: int = 1024, columns: int = 16, epsilon: float = 2.1, seed: int = 7) -> DataFrame:
+def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, sample_rows: int = 20_000, most_lists: int = 2048, probe_share: float = 0.85, block_rows: int = 4096, query_rows: int = 1024, columns: int = 16, epsilon: float = 2.1, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row whose id is divisible by ``every``.
 
     A row's own id is no candidate for it; other rows with equal vectors are. Ties go to the smaller id. Repeated ids count
