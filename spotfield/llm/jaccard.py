@@ -3,7 +3,7 @@
 A document is the set of its word n-grams. Sizes fall into bands; for the band from 2**j on, the domain
 of n-grams is partitioned, by hash, into about 2**j parts, and a document's signatures are the subsets made
 of one part each: a hash of what the document has there, for every part in which it has something. (Below
-``SMALL`` n-grams every n-gram is a part of its own.) Two sets that link differ in at most
+``SMALL`` n-grams every n-gram is a part of its own; N is then the size, and N - k is t * size.) Two sets that link differ in at most
 k = (1 - t) / (1 + t) * (size + size) n-grams, which touch at most k parts, so a document with N filled parts
 agrees with each partner in at least N - k signatures. A document that is up to 1/t times as large as its
 band's lower end gives the signatures of the band below too, so partners always meet in one band.
@@ -14,9 +14,12 @@ occur elsewhere have no partner and leave. Signatures travel as packed arrays, d
 document, then by signature again; equal sets count once all the way.
 
 Links are found in steps, all verified on the texts. First every document meets the hubs of its commonest
-signature groups, twice. Then, wherever a signature still joins documents of different components,
-all pairs across components are compared. So no group of copies is expanded into pairs and no link between
-different components is lost.
+signature groups, twice. Sets that a signature still joins to another component are then signed again with every
+n-gram as a part of its own: then a link asks for t / (1 + t) * (size + size) equal signatures, and most of a family that
+shares a passage or an original without linking leaves. The rest meet hubs once more, and at last all pairs
+across components are compared that share a kept signature early enough: signatures have one order everywhere
+(rare ones first), so from the first that two sets share on, each must have as many left as the link asks for.
+So no group of copies is expanded into pairs and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -82,28 +85,33 @@ def differing_bound(meta: np.ndarray, percent: int) -> np.ndarray:
     return ((meta >> np.uint64(32)).astype(np.int64) * 2 * (100 - percent)) // (100 + percent)
 
 
+def overlap(a: np.ndarray, b: int, percent: int) -> np.ndarray:
+    """The fewest n-grams that sets of these sizes have in common when they link."""
+    return -(-(a + b) * percent // (100 + percent))
+
+
 def band_of(size: int) -> int:
     return 0 if size < SMALL else size.bit_length() - 1
 
 
-def signatures(items: np.ndarray, percent: int, refine: int) -> list[tuple[int, np.ndarray, int]]:
-    """(band, signatures, N - k) for each band in which a set takes part."""
+def signatures(items: np.ndarray, percent: int, refine: int | None) -> list[tuple[int, np.ndarray, int]]:
+    """(band, signatures, N - k) for each band in which a set takes part; without ``refine`` all n-grams in band 0."""
     s, out = len(items), []
-    own = band_of(s)
+    own = 0 if refine is None else band_of(s)
     for band in (own, own - 1 if own > SMALL.bit_length() - 1 else 0) if own else (own,):
         top = SMALL - 1 if band == 0 else (2 << band) - 1  # largest size in the band
         if band != own and 100 * top < percent * s:
             continue
-        k = differing(s, s * 100 // percent if band == own else top, percent)
         if band == 0:
-            parts = mixed(items)
+            parts, need = mixed(items), -(-s * percent // 100)
         else:
             at = (items * _M) >> np.uint64(64 - band - refine)
             order = np.argsort(at, kind="stable")
             at = at[order]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             parts = mixed(np.add.reduceat(mixed(items[order]), first) + at[first])
-        out.append((band, mixed(parts + np.uint64((band + 1) * int(_M) % (1 << 64))), len(parts) - k))
+            need = len(parts) - differing(s, s * 100 // percent if band == own else top, percent)
+        out.append((band, mixed(parts + np.uint64((band + 1) * int(_M) % (1 << 64))), need))
     return out
 
 
@@ -156,9 +164,8 @@ def sized_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set long")
 
 
-def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int) -> DataFrame:
-    """Packed (signature, set, size and share of its signatures that others have) that later steps have to look at.
-    A document whose filled parts are too few for its band raises REFINE: the parts have to become finer."""
+def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shards: int) -> DataFrame:
+    """Packed (signature, set, size and share of its signatures that others have, shared signatures left from this one on) that later steps have to look at. A document whose filled parts are too few for its band raises REFINE: the parts have to become finer."""
     spark = docs.sparkSession
     many = np.uint64(shards)
 
@@ -212,14 +219,15 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int)
             first = _groups(sets, band)
             n_shared = np.diff(np.append(first, len(key)))
             need = (meta[first] & np.uint64((1 << 26) - 1)).astype(np.int64)
-            keep = np.arange(len(key)) - np.repeat(first, n_shared) < np.repeat(n_shared - need + 1, n_shared)
-            keep &= np.repeat(n_shared >= need, n_shared)
+            place = np.arange(len(key)) - np.repeat(first, n_shared)
+            keep = (place < np.repeat(n_shared - need + 1, n_shared)) & np.repeat(n_shared >= need, n_shared)
             if not keep.any():
                 continue
             parts = need + differing_bound(meta[first], percent)
             rank = (n_shared * 65535 // np.maximum(parts, 1)).astype(np.uint64)
             packed = (meta >> np.uint64(32)) | np.repeat(rank, n_shared) << np.uint64(32)
-            yield _pack(0, sets[keep].view(np.uint64) % many, key[keep], sets[keep], packed[keep])
+            left = (np.repeat(n_shared, n_shared) - place).astype(np.uint64)
+            yield _pack(0, sets[keep].view(np.uint64) % many, key[keep], sets[keep], packed[keep], left[keep])
 
     def _good(batches):
         for b in batches:
@@ -230,7 +238,18 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int, shards: int)
     width = min(shards, 4 * partitions(spark))
     signed = docs.select("text").mapInArrow(sign, _schema(3)).repartition(width, "shard").sortWithinPartitions("shard")
     rare = signed.mapInArrow(shared, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
-    return durable(rare.mapInArrow(chosen, _schema(3)))
+    return durable(rare.mapInArrow(chosen, _schema(4)))
+
+
+def _refined(docs: DataFrame, n: int, percent: int, refine: int | None, shards: int) -> DataFrame:
+    """Candidates with as many parts as every document needs."""
+    while True:
+        try:
+            return _candidates(docs, n, percent, refine, shards)
+        except Exception as e:
+            if "REFINE" not in str(e) or refine > 8:
+                raise
+            refine += 1
 
 
 def _bucketed(candidates: DataFrame, components: DataFrame | None, shards: int) -> DataFrame:
@@ -242,12 +261,12 @@ def _bucketed(candidates: DataFrame, components: DataFrame | None, shards: int)
         for b in batches:
             if b.num_rows:
                 node, component = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-                yield _pack(-1, node.view(np.uint64) % many, component, node, np.zeros(len(node), np.uint64))
+                yield _pack(-1, node.view(np.uint64) % many, component, node, *(np.zeros(len(node), np.uint64) for _ in range(2)))
 
     def label(batches):  # rows sorted by shard, then kind: the components come first
         now, nodes, names = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            for kind, shard, x, sets, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for kind, shard, x, sets, packed, left in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != now:
                     now, nodes, names = shard, np.zeros(0, np.int64), np.zeros(0, np.int64)
                 sets = np.frombuffer(sets, "<i8")
@@ -261,26 +280,38 @@ def _bucketed(candidates: DataFrame, components: DataFrame | None, shards: int)
                     at = np.minimum(np.searchsorted(nodes, sets), len(nodes) - 1)
                     name = np.where(nodes[at] == sets, names[at], sets)
                 key = np.frombuffer(x, "<u8")
-                yield _pack(0, key >> np.uint64(32), key, sets, np.frombuffer(packed, "<u8"), name)
+                yield _pack(0, key >> np.uint64(32), key, sets, np.frombuffer(packed, "<u8"), np.frombuffer(left, "<u8"), name)
 
     rows = candidates
     if components is not None:
-        rows = rows.unionByName(components.select("node", "component").mapInArrow(pack_components, _schema(3))).repartition(width, "shard").sortWithinPartitions("shard", "kind")
-    return rows.mapInArrow(label, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
+        rows = rows.unionByName(components.select("node", "component").mapInArrow(pack_components, _schema(4))).repartition(width, "shard").sortWithinPartitions("shard", "kind")
+    return rows.mapInArrow(label, _schema(5)).repartition(width, "shard").sortWithinPartitions("shard")
 
 
 def _open_buckets(batches: Iterator[pa.RecordBatch]):
-    """(sets, sizes, shares, components, starts, ends) of each shard's signatures that join different components."""
-    for _, (key, sets, packed, name) in _by_shard(batches, ["<u8", "<i8", "<u8", "<i8"]):
+    """(sets, sizes, shares, signatures left, components, starts, ends) of each shard's signatures that join different components."""
+    for _, (key, sets, packed, left, name) in _by_shard(batches, ["<u8", "<i8", "<u8", "<u8", "<i8"]):
         order = np.lexsort((sets, key))
-        key, sets, packed, name = key[order], sets[order], packed[order], name[order]
+        key, sets, packed, left, name = key[order], sets[order], packed[order], left[order], name[order]
         once = _groups(key, sets)
-        key, sets, packed, name = key[once], sets[once], packed[once], name[once]
+        key, sets, packed, left, name = key[once], sets[once], packed[once], left[once], name[once]
         first = _groups(key)
         ends = np.append(first[1:], len(key))
         apart = np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)
         size = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        yield sets, size, (packed >> np.uint64(32)).astype(np.int64), name, first[apart], ends[apart]
+        yield sets, size, (packed >> np.uint64(32)).astype(np.int64), left.astype(np.int64), name, first[apart], ends[apart]
+
+
+def _open_sets(candidates: DataFrame, components: DataFrame | None, shards: int) -> DataFrame:
+    """The sets that some signature joins to another component."""
+
+    def run(batches):
+        for sets, *_, first, ends in _open_buckets(batches):
+            if len(first):
+                found = np.unique(np.concatenate([sets[lo:hi] for lo, hi in zip(first, ends, strict=True)]))
+                yield pa.RecordBatch.from_arrays([pa.array(found)], ["set"])
+
+    return _bucketed(candidates, components, shards).mapInArrow(run, "set long").distinct()
 
 
 def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, shards: int, most: int = 2) -> DataFrame:
@@ -289,7 +320,7 @@ def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, sha
     many = np.uint64(shards)
 
     def hubs(batches):
-        for sets, size, share, name, first, ends in _open_buckets(batches):
+        for sets, size, share, _, name, first, ends in _open_buckets(batches):
             a, b = [], []
             for lo, hi in zip(first, ends, strict=True):
                 hub = lo + int(np.argmax(share[lo:hi]))
@@ -319,18 +350,23 @@ def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, sha
 
 
 def _across(candidates: DataFrame, components: DataFrame, percent: int, shards: int) -> DataFrame:
-    """All pairs of sets that share a kept signature, could link by size and are in different components."""
+    """All pairs of sets in different components that could link by size and by the signatures left from one that they share;
+    ``candidates`` have n-grams as parts.
+
+    Of a shard's buckets with equal sets, the one with most signatures left comes first in the common order and stands for all."""
 
     def pairs(batches):
-        for sets, size, _, name, first, ends in _open_buckets(batches):
+        for sets, size, _, left, name, first, ends in _open_buckets(batches):
             seen, a, b = set(), [], []
-            for lo, hi in zip(first, ends, strict=True):
-                s, z, c = sets[lo:hi], size[lo:hi], name[lo:hi]
+            early = np.argsort(-left[first], kind="stable")
+            for lo, hi in zip(first[early], ends[early], strict=True):
+                s, z, c, rest = (x[lo:hi] for x in (sets, size, name, left))
                 if (same := s.tobytes()) in seen:
                     continue
                 seen.add(same)
                 for i in range(len(s) - 1):
-                    ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(z[i + 1 :], z[i]) >= percent * np.maximum(z[i + 1 :], z[i]))
+                    zs = z[i + 1 :]
+                    ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(zs, z[i]) >= percent * np.maximum(zs, z[i])) & (np.minimum(rest[i + 1 :], rest[i]) >= overlap(zs, z[i], percent))
                     a.append(np.full(int(ok.sum()), s[i]))
                     b.append(s[i + 1 :][ok])
                 if sum(map(len, a[-1000:])) > 500_000:
@@ -349,12 +385,16 @@ def _across(candidates: DataFrame, components: DataFrame, percent: int, shards:
     return _bucketed(candidates, components, shards).mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, few: int = 1_000_000) -> DataFrame:
-    """The pairs of sets that link, from one text of each; only texts of sets in a pair move."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def _texts(involved: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """(set, text) with one text of each set; only these texts move."""
     ids = durable(sets.join(involved, "set").groupBy("set").agg(F.min("place").alias("place")))
     small = F.broadcast(ids) if ids.count() <= few else ids
-    texts = docs.join(small, "place").select("set", "text")
+    return docs.join(small, "place").select("set", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs of sets that link, from one text of each."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), docs, sets)
 
     def compare(batches):
         words, left, items = WordHashes(), None, None
@@ -390,22 +430,14 @@ def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     placed = rows.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
     where = sets.where("n_shingles > 0").withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("set", "place")
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
-    refine = 0
-    while True:
-        try:
-            candidates = _candidates(rows, n, percent, refine, shards)
-            break
-        except Exception as e:
-            if "REFINE" not in str(e) or refine > 8:
-                raise
-            refine += 1
+    candidates = _refined(rows, n, percent, 0, shards)
     links, found, tried = None, None, None
-    for step in (_hubs, _hubs, _across):
+    for step, fine in ((_hubs, False), (_hubs, False), (_hubs, True), (_across, False)):
+        if fine:
+            candidates = _candidates(_texts(_open_sets(candidates, found, shards), placed, where), n, percent, None, shards)
         pairs = step(candidates, found, percent, shards)
         pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if step is _across or tried is None:
-                break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = _verified(pairs, placed, where, n, percent)

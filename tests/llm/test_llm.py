@@ -99,9 +99,33 @@ def test_signatures_meet_whenever_sets_link():
             base = np.unique(base)
             common = len(np.intersect1d(base, other))
             if 100 * common >= 75 * (len(base) + len(other) - common):
-                a, b = (jaccard.signatures(x, 75, 0) for x in (base, other))
-                meets = [len(np.intersect1d(s, t)) >= max(n, m) for p, s, n in a for q, t, m in b if p == q]
-                assert any(meets)
+                for refine in (0, None):
+                    a, b = (jaccard.signatures(x, 75, refine) for x in (base, other))
+                    meets = [len(np.intersect1d(s, t)) >= max(n, m) for p, s, n in a for q, t, m in b if p == q]
+                    assert any(meets)
+                assert common >= jaccard.overlap(len(base), len(other), 75)
+
+
+def test_jaccard_join_of_an_edited_family(spark):
+    """Copies of one original with few to many edits from a small vocabulary: some link only with each other."""
+    rng = np.random.default_rng(11)
+    base, rows = rng.choice(WORDS, 150).tolist(), []
+    for i in range(150):
+        words = list(base) if i % 10 else rng.choice(WORDS, 150).tolist()
+        for at in rng.integers(0, 150, int(rng.integers(0, 14))):
+            words[at] = ("edited", "changed")[int(rng.integers(2))]
+        if i % 10 == 9:  # a near copy of a heavily edited one
+            words = rows[-1][1].split(" ")
+            words[3] = "again"
+        rows.append((i, " ".join(words[: int(rng.integers(120, 151))]), "en", "s"))
+    sets = shingle_sets([r[:2] for r in rows])
+    name = {i: i for i in sets}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            name[a] = name[b] = min(name[a], name[b])
+    assert 10 < len(set(name.values())) < 140
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(make(spark, rows)).collect()} == name
 
 
 def test_packing_round_trip(spark, docs, empty):
