@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product: inverted lists and adaptive dimension scan.
 
-Vectors get one more dimension that makes all equally long, so that the nearest by distance has the largest
-inner product, and are rotated at random. Centroids are fitted on a bounded sample; every vector goes to the
+Candidates get one more dimension that makes all equally long. A query has 0 there and is stretched to the same
+length, which leaves the order of its inner products as it is; so the candidate nearest to it by distance has the
+largest inner product. Both are rotated at random. Centroids are fitted on a bounded sample; every vector goes to the
 list of its nearest centroid, lists are cut into blocks of about ``block_rows`` vectors by hash, and a query
-visits all blocks of its ``probes`` nearest lists. Within a block, distances grow over blocks of columns; a
+visits all blocks of the ``probes`` lists whose centroids (their members' mean) have the largest inner product with it. Within a block, distances grow over blocks of columns; a
 candidate is abandoned once a hypothesis test on its partial distance says that it lies beyond the best
 found so far. Survivors are scored exactly, on the original vectors in double precision.
 
@@ -31,6 +32,12 @@ def lengthen(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))])
 
 
+def as_query(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows (none zero) stretched to the squared length ``longest``, with 0 in the column that ``lengthen`` adds."""
+    x = x / np.abs(x).max(1)[:, None]
+    return np.column_stack([x * np.sqrt(longest / (x * x).sum(1))[:, None], np.zeros(len(x))])
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None]
 
@@ -106,13 +113,16 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
 
     def assigned(batches):
         for b in batches:
-            d = squared(lengthen(np.array(b["v"].tolist()), longest) @ turn, middle)
-            near = np.argsort(d, 1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"same": b["same"], "first": b["first"], "v": b["v"], "lists": list(near.astype(np.int32))})
-
-    placed = durable(classes.mapInPandas(assigned, "same string, first long, v array<double>, lists array<int>"))
+            x = np.array(b["v"].tolist()).reshape(len(b), -1)
+            if not len(x):
+                continue
+            own = squared(lengthen(x, longest) @ turn, middle).argmin(1)
+            near = np.argsort(-(as_query(x, longest) @ turn @ middle.T), 1, kind="stable")[:, :probes]
+            yield pd.DataFrame({"same": b["same"], "first": b["first"], "v": b["v"], "list": own.astype(np.int32), "lists": list(near.astype(np.int32))})
+
+    placed = durable(classes.mapInPandas(assigned, "same string, first long, v array<double>, list int, lists array<int>"))
     asked = placed.join(asking.select("same").distinct(), "same", "left_semi").select(F.col("same").alias("query"), F.col("v").alias("wanted"), F.explode("lists").alias("list"))
-    here = placed.select("same", "first", "v", F.element_at("lists", 1).alias("list"))
+    here = placed.select("same", "first", "v", "list")
     blocks = here.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     chunks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("chunks"))
     shape = F.broadcast(blocks.join(chunks, "list"))  # a row for each list, most_lists at most
@@ -125,7 +135,7 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
         candidates = candidates.sort_values("first")
         x, first = np.array(candidates["v"].tolist()), candidates["first"].to_numpy()
         y = np.array(queries["wanted"].tolist())
-        rx, ry = lengthen(x, longest) @ turn, lengthen(y, longest) @ turn
+        rx, ry = lengthen(x, longest) @ turn, as_query(y, longest) @ turn
         found = []
         for name, q, rq in zip(queries["query"], y, ry, strict=True):
             at = adaptive_scan(rq, rx, k + 1, columns, epsilon)

@@ -219,6 +219,24 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("most_lists", [1, 2048])
+def test_nearest_neighbours_of_varied_norm(spark, most_lists):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 32))
+    x *= (rng.uniform(0.1, 3, 2000) / np.linalg.norm(x, axis=1))[:, None]
+    x[40] *= 1e-12  # a short query asks for the same order as a long one
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), most_lists=most_lists).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["query_id"]].add(r["vec_id"])
+    hit = []
+    for q in range(0, 2000, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hit.append(len(by[q] & set(np.lexsort((np.arange(2000), -s))[:20].tolist())))
+    assert sum(hit) / 2000 >= (0.99 if most_lists == 1 else 0.92) and hit[2] >= 15
+
+
 def test_urls_follow_redirects(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x", "<link rel='canonical' href='http://b.net/q'>"), (2, "http://B.net/q#z", ""), (3, "http://c.com/", '<meta http-equiv="refresh" content="0; url=http://a.com/x">'), (4, None, None), (5, "zz", ""), (6, "http://d.com/x", '<link href="http://e.example.net/en/1" rel=canonical>'), (7, "http://f.com/", '<link rel="canonical" href="http://d.com/x"><meta http-equiv=refresh content="1;url=//g.net/">'), (8, "http://x.example.com/de/1", ""), (9, "http://y.net", "")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged_pages(pages).collect()}
