@@ -29,11 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group joined by five-word shingles at 0.75, and all without words."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = jaccard.components(docs, n=5, percent=75).where("n_shingles = 0 or component_id is null or doc_id = component_id").select(key.alias("__key"), (F.col("n_shingles") > 0).alias("__words")).groupBy("__key").agg(F.max("__words").alias("__words"))
-    alike = Window.partitionBy("__key", "__digest").orderBy(F.lit(1))
-    rows = docs.withColumns({"__key": key, "__digest": F.xxhash64("text")}).join(kept, "__key").withColumn("__n", F.row_number().over(alike))
+    """Keeps one document, of the smallest id, of each group joined by five-word shingles at 0.75, and all without words."""
+    judged = jaccard.labelled(docs, n=5, percent=75)
+    kept = judged.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("__row")).select("__row", F.lit(True).alias("__words"))
+    kept = kept.unionByName(judged.where("n_shingles = 0").select(F.col("row").alias("__row"), F.lit(False).alias("__words")).distinct())
+    rows = docs.withColumn("__row", jaccard.row_of()).join(kept, "__row").withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1))))
     return rows.where("__n = 1 or not __words").select(docs.columns)
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -152,16 +152,21 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def row_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """64 bits of a row's id and text; only equal rows share them."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def sized_sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles and the set's id, of every row."""
+    """doc_id, row, n_shingles and the set's id, of every row."""
 
     def run(batches):
         words = WordHashes()
         for b in batches:
             sets = [shingles(t, n, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "row", "n_shingles", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row_of().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set long")
 
 
 def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shards: int) -> DataFrame:
@@ -386,10 +391,15 @@ def _across(candidates: DataFrame, components: DataFrame, percent: int, shards:
 
 
 def _texts(involved: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1_000_000) -> DataFrame:
-    """(set, text) with one text of each set; only these texts move."""
-    ids = durable(sets.join(involved, "set").groupBy("set").agg(F.min("place").alias("place")))
-    small = F.broadcast(ids) if ids.count() <= few else ids
-    return docs.join(small, "place").select("set", "text")
+    """(set, text) with one text of each set, fetched by row; only these texts move."""
+    rows = sets.join(involved, "set").groupBy("set", "row").agg(F.count(F.lit(1)).alias("times"))
+    ids = durable(rows.groupBy("set").agg(F.min("row").alias("row"), F.min_by("times", "row").alias("times")))
+    total, most = ids.agg(F.count(F.lit(1)), F.max("times")).first()
+    found = docs.join(F.broadcast(ids) if total <= few else ids, "row")
+    if (most or 0) < 2:
+        return found.select("set", "text")
+    repeated = found.where("times > 1").groupBy("set").agg(F.min("text").alias("text"))
+    return found.where("times = 1").select("set", "text").unionByName(repeated)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -416,7 +426,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percen
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row; see ``labelled``."""
+    return labelled(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, row (``row_of``), n_shingles, component (null without words) and component_id (smallest doc_id in it) of every row.
 
     Documents without words link with nothing and are their own component, as are all if the table holds
     no links. Equal sets link. Rows that repeat an id are judged each by its own text; rows without an
@@ -427,8 +442,8 @@ def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     sets = durable(sized_sets(rows, n))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     shards = max(partitions(spark), -(-total // FLUSH))
-    placed = rows.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    where = sets.where("n_shingles > 0").withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("set", "place")
+    placed = rows.withColumn("row", row_of())
+    where = sets.where("n_shingles > 0").select("set", "row")
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     candidates = _refined(rows, n, percent, 0, shards)
     links, found, tried = None, None, None
@@ -447,6 +462,6 @@ def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         found = spark.createDataFrame([], "node long, component long")
     member = classes.join(found, classes["set"] == found["node"], "left").select("set", "first", F.coalesce("component", "set").alias("component"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "component").select("set", "component_id")
-    with_words = sets.where("n_shingles > 0").join(named, "set").select("doc_id", "n_shingles", "component_id")
-    return with_words.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = member.join(least, "component").select("set", "component", "component_id")
+    with_words = sets.where("n_shingles > 0").join(named, "set").select("doc_id", "row", "n_shingles", "component", "component_id")
+    return with_words.unionByName(sets.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))

@@ -88,6 +88,33 @@ def test_jaccard_join_against_brute_force(spark, docs, empty):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(40)]
+        for copy in range(5):
+            edited = list(base)
+            for at in rng.choice(40, copy // 2 * 3, replace=False):  # 0, 0, 3, 3 or 6 words: some link, some only overlap
+                edited[at] = f"e{rng.integers(10**9)}"
+            rows.append((None if rng.random() < 0.4 else int(rng.integers(6)), " ".join(edited)))
+    rows += [(3, rows[0][1]), (None, rows[7][1]), (None, rows[7][1]), (None, ""), (2, None), (None, "a b"), (2, "a b")]
+    sets = list(shingle_sets(enumerate(t for _, t in rows)).values())
+    name = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and name[a] != name[b]:
+            name = [name[a] if x == name[b] else x for x in name]
+    least = {g: min((i for (i, _), x in zip(rows, name, strict=True) if x == g and i is not None), default=None) for g in set(name)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect())
+    assert got == collections.Counter((i, len(s), least[g]) for (i, _), s, g in zip(rows, sets, name, strict=True))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert all(k in rows for k in kept) and len(kept) == len(set(name))
+    assert sorted(str(least[name[rows.index(k)]]) for k in kept) == sorted(map(str, least.values())) == sorted(str(i) for i, _ in kept)
+
+
 def test_signatures_meet_whenever_sets_link():
     rng = np.random.default_rng(5)
     for size in (1, 3, 10, 50, 63, 64, 70, 84, 85, 127, 128, 200, 511, 512, 700):
