@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.numbers import with_bh
 
 
@@ -24,6 +25,7 @@ def replicates(values: DataFrame, column: str, permutations: int, seed: int, gro
 
 def inference(stats: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Observed, null mean and deviation (ddof 1), z and two-sided empirical p from one row per replicate."""
+    stats = durable(stats)  # read twice; a row for each replicate and key
     obs = F.max(F.when(F.col("perm") == 0, F.col(value)))
     null = F.when(F.col("perm") > 0, F.col(value))
     m = stats.groupBy("sample", *keys).agg(obs.alias("observed"), F.avg(null).alias("expected"), F.stddev_samp(null).alias("sd"))

@@ -13,7 +13,7 @@ from . import field_queries as fq
 from .support import CNT, HEXE, HV, MASKS, MATRIX, PAIR, SPOTS, SYM, r, rounded
 
 QUERIES, ORACLES = {}, {}
-P, SEED = 19, 7
+P, P_INTERACTION, SEED = 999, 499, 7  # the reference's defaults: graph, interaction
 
 
 def query(sql: str | None = None):
@@ -26,9 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _reps(table: str, column: str, group: str = "0") -> str:
+def _reps(table: str, column: str, group: str = "0", permutations: int = P) -> str:
     """Replicates of a column in SQL; replicate 0 as given."""
-    return f"""mm_{column} AS (SELECT spot, {column} AS v, {group} AS grp, perm FROM {table}, range(1, {P + 1}) x(perm) WHERE ({group}) IS NOT NULL),
+    return f"""mm_{column} AS (SELECT spot, {column} AS v, {group} AS grp, perm FROM {table}, range(1, {permutations + 1}) x(perm) WHERE ({group}) IS NOT NULL),
 rp_{column} AS (SELECT 0 AS perm, spot, {column} AS v FROM {table} WHERE ({group}) IS NOT NULL UNION ALL SELECT a.perm, a.spot, b.v FROM (SELECT *, row_number() OVER (PARTITION BY perm, grp ORDER BY spot) AS n FROM mm_{column}) a
   JOIN (SELECT *, row_number() OVER (PARTITION BY perm, grp ORDER BY md5(concat_ws(':', {SEED}, perm, spot)), spot) AS n FROM mm_{column}) b USING (perm, grp, n))"""
 
@@ -132,10 +132,10 @@ def interaction_indices(s, d):
     return pm.interaction_values(_units(s, d).withColumn("perm", F.lit(0)), nn.knn_graph(fq.spots(s, d), 6)).drop("perm")
 
 
-@query(f"WITH {MASKS}, {_UNITS}, {_reps('un', 'su')}, u0 AS (SELECT p.perm, p.spot, un.cu, p.v AS su FROM rp_su p JOIN un USING (spot)), {_interaction_sql('u0')} SELECT 'cust' AS sample, CAST(perm AS INT) AS perm, {', '.join(r(x, x) for x in _INDICES)}, informative_edges FROM ix LEFT JOIN mx USING (perm)")
+@query(f"WITH {MASKS}, {_UNITS}, {_reps('un', 'su', permutations=P_INTERACTION)}, u0 AS (SELECT p.perm, p.spot, un.cu, p.v AS su FROM rp_su p JOIN un USING (spot)), {_interaction_sql('u0')} SELECT 'cust' AS sample, CAST(perm AS INT) AS perm, {', '.join(r(x, x) for x in _INDICES)}, informative_edges FROM ix LEFT JOIN mx USING (perm)")
 def interaction_null(s, d):
     u = _units(s, d)
-    reps = pm.replicates(u, "su", P, SEED).join(u.select("sample", "spot", "cu"), ["sample", "spot"])
+    reps = pm.replicates(u, "su", P_INTERACTION, SEED).join(u.select("sample", "spot", "cu"), ["sample", "spot"])
     return pm.interaction_values(reps, nn.knn_graph(fq.spots(s, d), 6))
 
 

@@ -72,3 +72,11 @@ def test_mann_whitney_exact_and_normal():
     assert enrich.two_sided_p(3, 3, 9.0, 0.0, 0.0) == pytest.approx(0.1)
     assert enrich.two_sided_p(1, 3, 3.0, 0.0, 0.0) is None
     assert enrich.two_sided_p(20, 20, 300.0, 1.959964, 0.0) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_registered_permutations_are_the_reference_defaults(spark):
+    from spotfield.plans import inference_queries as iq
+
+    p = [r["empirical_p"] for r in iq.QUERIES["binary_association"](spark, "/root/testdata/sf0.001").collect()]
+    assert min(p) < 0.05 and all(abs(x * 1000 - round(x * 1000)) < 1e-6 for x in p)  # multiples of 1 / (999 + 1)
+    assert "range(1, 500)" in iq.ORACLES["interaction_null"]
