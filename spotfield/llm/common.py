@@ -42,3 +42,11 @@ def partitions(spark: SparkSession) -> int:
 def to_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return (text or "").encode("utf-8", "surrogatepass")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 8 MB, where the session has its defaults, so that whole texts and packed rows stay
+    few in a Python worker."""
+    for name, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(key := f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(key, ours)

@@ -33,10 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import durable, partitions, to_bytes
+from .common import durable, partitions, small_batches, to_bytes
 
 SMALL = 64
-FLUSH = 2_000_000
+#: Signatures that a task holds before it sends them off, and about how many a shard has.
+FLUSH = SHARD = 500_000
+#: Sets of one signature that are compared in one task; more are cut into blocks.
+BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,6 +88,11 @@ def differing_bound(meta: np.ndarray, percent: int) -> np.ndarray:
     return ((meta >> np.uint64(32)).astype(np.int64) * 2 * (100 - percent)) // (100 + percent)
 
 
+def overlap_alone(meta: np.ndarray, percent: int) -> np.ndarray:
+    """The N - k of sets of which every n-gram is a part, from packed sizes; only used where that is so."""
+    return -(-(meta >> np.uint64(32)).astype(np.int64) * percent // 100)
+
+
 def overlap(a: np.ndarray, b: int, percent: int) -> np.ndarray:
     """The fewest n-grams that sets of these sizes have in common when they link."""
     return -(-(a + b) * percent // (100 + percent))
@@ -94,24 +102,42 @@ def band_of(size: int) -> int:
     return 0 if size < SMALL else size.bit_length() - 1
 
 
-def signatures(items: np.ndarray, percent: int, refine: int | None) -> list[tuple[int, np.ndarray, int]]:
-    """(band, signatures, N - k) for each band in which a set takes part; without ``refine`` all n-grams in band 0."""
+def _filled(items: np.ndarray, bits: int) -> np.ndarray:
+    """Starts of the parts that sorted hashes fill, parts being told by the leading ``bits``."""
+    return _groups(items >> np.uint64(64 - bits))
+
+
+def bands(size: int, percent: int) -> list[tuple[int, int]]:
+    """(band, most n-grams by which a partner there differs) of the bands from 1 on in which a set of this size takes part."""
+    own = band_of(size)
+    out = [(own, differing(size, size * 100 // percent, percent))] if own else []
+    if own > SMALL.bit_length() - 1 and 100 * ((1 << own) - 1) >= percent * size:
+        out.append((own - 1, differing(size, (1 << own) - 1, percent)))
+    return out
+
+
+def fineness(items: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(band, bits that its parts need beyond 2**band) for this set to fill more parts than partners may differ in. With
+    enough bits every n-gram is alone, and then size - k > 0."""
+    out = []
+    for band, differ in bands(len(items), percent):
+        more = 0
+        while len(_filled(items, band + more)) <= differ:
+            more += 1
+        out.append((band, more))
+    return out
+
+
+def signatures(items: np.ndarray, percent: int, finer: dict[int, int] | None) -> list[tuple[int, np.ndarray, int]]:
+    """(band, signatures, N - k) for each band in which a set takes part; with ``finer`` None all n-grams are parts, in band 0."""
     s, out = len(items), []
-    own = 0 if refine is None else band_of(s)
-    for band in (own, own - 1 if own > SMALL.bit_length() - 1 else 0) if own else (own,):
-        top = SMALL - 1 if band == 0 else (2 << band) - 1  # largest size in the band
-        if band != own and 100 * top < percent * s:
-            continue
-        if band == 0:
-            parts, need = mixed(items), -(-s * percent // 100)
-        else:
-            at = (items * _M) >> np.uint64(64 - band - refine)
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            parts = mixed(np.add.reduceat(mixed(items[order]), first) + at[first])
-            need = len(parts) - differing(s, s * 100 // percent if band == own else top, percent)
-        out.append((band, mixed(parts + np.uint64((band + 1) * int(_M) % (1 << 64))), need))
+    told = [] if finer is None else bands(s, percent)
+    if not told or s * percent <= 100 * (SMALL - 1) and finer is not None:
+        out.append((0, mixed(mixed(items) + _M), -(-s * percent // 100)))
+    for band, differ in told:
+        first = _filled(items, band + finer.get(band, 0))
+        parts = mixed(np.add.reduceat(mixed(items), first) + (items[first] >> np.uint64(64 - band - finer.get(band, 0))))
+        out.append((band, mixed(parts + np.uint64((band + 1) * int(_M) % (1 << 64))), len(first) - differ))
     return out
 
 
@@ -157,20 +183,26 @@ def row_of(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
-def sized_sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, row, n_shingles and the set's id, of every row."""
+def sized_sets(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, row, n_shingles, the set's id and what ``fineness`` its bands need, of every row."""
 
     def run(batches):
         words = WordHashes()
         for b in batches:
             sets = [shingles(t, n, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "row", "n_shingles", "set"])
+            fine = [dict(fineness(s, percent)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([list(f.items()) for f in fine], pa.map_(pa.int32(), pa.int32()))], ["doc_id", "row", "n_shingles", "set", "fine"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row_of().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set long, fine map<int,int>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row_of().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set long")
 
+def _width(spark, shards: int) -> int:
+    return max(partitions(spark), min(shards // 4, 4 * partitions(spark)))
 
-def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shards: int) -> DataFrame:
-    """Packed (signature, set, size and share of its signatures that others have, shared signatures left from this one on) that later steps have to look at. A document whose filled parts are too few for its band raises REFINE: the parts have to become finer."""
+
+def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | None, shards: int) -> DataFrame:
+    """Packed (signature, set, size and share of its signatures that others have, shared signatures left from this one on) that
+    later steps have to look at. Two signatures of a set that coincide in what is kept of them lower its N - k by one."""
     spark = docs.sparkSession
     many = np.uint64(shards)
 
@@ -187,12 +219,11 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shard
                 me = set_id(items)
                 if not len(items) or me in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(me)
-                for band, sig, need in signatures(items, percent, refine):
-                    if need <= 0:
-                        yield _pack(2, np.zeros(1, np.int64), *(np.zeros(1, np.uint8) for _ in range(3)))
+                for band, sig, need in signatures(items, percent, finer):
+                    need -= len(sig) - len(np.unique((sig % many) << np.uint64(32) | sig >> np.uint64(32)))
                     meta = np.uint64(max(need, 0)) | np.uint64(band) << np.uint64(26) | np.uint64(len(items)) << np.uint64(32)
                     held.append((sig, np.full(len(sig), me, np.int64), np.full(len(sig), meta, np.uint64)))
                     size += len(sig)
@@ -203,7 +234,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shard
             yield flush()
 
     def shared(batches):
-        for shard, (sig, sets, meta) in _by_shard(_good(batches), ["<u4", "<i8", "<u8"]):
+        for shard, (sig, sets, meta) in _by_shard(batches, ["<u4", "<i8", "<u8"]):
             order = np.lexsort((sets, sig))
             sig, sets, meta = sig[order], sets[order], meta[order]
             once = _groups(sig, sets)
@@ -231,36 +262,20 @@ def _candidates(docs: DataFrame, n: int, percent: int, refine: int | None, shard
             parts = need + differing_bound(meta[first], percent)
             rank = (n_shared * 65535 // np.maximum(parts, 1)).astype(np.uint64)
             packed = (meta >> np.uint64(32)) | np.repeat(rank, n_shared) << np.uint64(32)
-            left = (np.repeat(n_shared, n_shared) - place).astype(np.uint64)
+            lost = np.maximum(overlap_alone(meta[first], percent) - need, 0)
+            left = (np.repeat(n_shared + lost, n_shared) - place).astype(np.uint64)
             yield _pack(0, sets[keep].view(np.uint64) % many, key[keep], sets[keep], packed[keep], left[keep])
 
-    def _good(batches):
-        for b in batches:
-            if 2 in b.column(0).to_pylist():
-                raise ValueError("REFINE")
-            yield b
-
-    width = min(shards, 4 * partitions(spark))
+    width = _width(spark, shards)
     signed = docs.select("text").mapInArrow(sign, _schema(3)).repartition(width, "shard").sortWithinPartitions("shard")
     rare = signed.mapInArrow(shared, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
     return durable(rare.mapInArrow(chosen, _schema(4)))
 
 
-def _refined(docs: DataFrame, n: int, percent: int, refine: int | None, shards: int) -> DataFrame:
-    """Candidates with as many parts as every document needs."""
-    while True:
-        try:
-            return _candidates(docs, n, percent, refine, shards)
-        except Exception as e:
-            if "REFINE" not in str(e) or refine > 8:
-                raise
-            refine += 1
-
-
 def _bucketed(candidates: DataFrame, components: DataFrame | None, shards: int) -> DataFrame:
     """The candidates dealt by signature, each set with its component (itself without links)."""
     many = np.uint64(shards)
-    width = min(shards, 4 * partitions(candidates.sparkSession))
+    width = _width(candidates.sparkSession, shards)
 
     def pack_components(batches):
         for b in batches:
@@ -320,8 +335,8 @@ def _open_sets(candidates: DataFrame, components: DataFrame | None, shards: int)
 
 
 def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, shards: int, most: int = 2) -> DataFrame:
-    """For each set in an open bucket the ``most`` commonest hubs of its buckets, out of its component. A bucket's hub is the
-    set of which the largest share of signatures occurs elsewhere, which an original has over its edited copies."""
+    """(a, b): for each set b in an open bucket the ``most`` commonest hubs a of its buckets, out of its component. A bucket's hub
+    is the set of which the largest share of signatures occurs elsewhere, which an original has over its edited copies."""
     many = np.uint64(shards)
 
     def hubs(batches):
@@ -349,32 +364,50 @@ def _hubs(candidates: DataFrame, components: DataFrame | None, percent: int, sha
             keep = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b)))) < most
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    width = min(shards, 4 * partitions(candidates.sparkSession))
+    width = _width(candidates.sparkSession, shards)
     found = _bucketed(candidates, components, shards).mapInArrow(hubs, _schema(2)).repartition(width, "shard").sortWithinPartitions("shard")
-    return found.mapInArrow(commonest, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = found.mapInArrow(commonest, "a long, b long").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("a").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
 
 def _across(candidates: DataFrame, components: DataFrame, percent: int, shards: int) -> DataFrame:
     """All pairs of sets in different components that could link by size and by the signatures left from one that they share;
     ``candidates`` have n-grams as parts.
 
-    Of a shard's buckets with equal sets, the one with most signatures left comes first in the common order and stands for all."""
+    Of a shard's buckets with equal sets, the one with most signatures left comes first in the common order and stands for all.
+    Sets of a bucket are ordered by size and cut into blocks; pairs of blocks whose sizes allow links are dealt to all tasks."""
+    kinds = ["<i8", "<i8", "<i8", "<i8"]
 
-    def pairs(batches):
+    def blocks(batches):
         for sets, size, _, left, name, first, ends in _open_buckets(batches):
-            seen, a, b = set(), [], []
+            seen = set()
             early = np.argsort(-left[first], kind="stable")
             for lo, hi in zip(first[early], ends[early], strict=True):
-                s, z, c, rest = (x[lo:hi] for x in (sets, size, name, left))
-                if (same := s.tobytes()) in seen:
+                if (same := sets[lo:hi].tobytes()) in seen:
                     continue
                 seen.add(same)
-                for i in range(len(s) - 1):
-                    zs = z[i + 1 :]
-                    ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(zs, z[i]) >= percent * np.maximum(zs, z[i])) & (np.minimum(rest[i + 1 :], rest[i]) >= overlap(zs, z[i], percent))
-                    a.append(np.full(int(ok.sum()), s[i]))
-                    b.append(s[i + 1 :][ok])
-                if sum(map(len, a[-1000:])) > 500_000:
+                order = lo + np.argsort(size[lo:hi], kind="stable")
+                cuts = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
+                for i, x in enumerate(cuts):
+                    for y in cuts[i:]:
+                        if 100 * size[x[-1]] < percent * size[y[0]]:
+                            break
+                        both = x if y is x else np.concatenate([x, y])
+                        cols = [c[both].astype("<i8").tobytes() for c in (sets, size, name, left)]
+                        yield pa.RecordBatch.from_arrays([pa.array([0 if y is x else len(x)], pa.int32()), pa.array([int(sets[x[0]] ^ sets[y[0]])]), *(pa.array([c], pa.binary()) for c in cols)], ["kind", "shard", "c0", "c1", "c2", "c3"])
+
+    def pairs(batches):
+        for batch in batches:
+            a, b = [], []
+            for cut, _, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, z, c, rest = (np.frombuffer(x, k) for x, k in zip(cols, kinds, strict=True))
+                for i in range(cut or len(s) - 1):
+                    to = slice(cut or i + 1, None)
+                    ok = (c[to] != c[i]) & (100 * np.minimum(z[to], z[i]) >= percent * np.maximum(z[to], z[i])) & (np.minimum(rest[to], rest[i]) >= overlap(z[to], z[i], percent))
+                    x = s[to][ok]
+                    a.append(np.minimum(x, s[i]))
+                    b.append(np.maximum(x, s[i]))
+                if sum(map(len, a[-4000:])) > 500_000:
                     yield from once(a, b)
                     a, b = [], []
             yield from once(a, b)
@@ -387,7 +420,8 @@ def _across(candidates: DataFrame, components: DataFrame, percent: int, shards:
             first = _groups(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
-    return _bucketed(candidates, components, shards).mapInArrow(pairs, "a long, b long").distinct()
+    dealt = _bucketed(candidates, components, shards).mapInArrow(blocks, _schema(4)).repartition(_width(candidates.sparkSession, shards), "shard", "kind")
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _texts(involved: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1_000_000) -> DataFrame:
@@ -402,27 +436,33 @@ def _texts(involved: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1_0
     return found.where("times = 1").select("set", "text").unionByName(repeated)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of sets that link, from one text of each."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), docs, sets)
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, few: int = 1_000_000, most: int = 2_000) -> DataFrame:
+    """The pairs of sets that link, from one text of each. A text goes to the task of the set that it is held against; a set with
+    more than ``most`` partners has several tasks."""
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tasks"))
+    dealt = pairs.join(tasks, "a").select(F.col("b").alias("set"), "a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task"), F.lit(True).alias("other"))
+    own = tasks.select(F.col("a").alias("set"), "a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(False).alias("other"))
+    sends = durable(dealt.unionByName(own))
+    texts = _texts(sends.select("set").distinct(), docs, sets)
+    held = texts.join(F.broadcast(sends) if sends.count() <= few else sends, "set")
 
     def compare(batches):
         words, left, items = WordHashes(), None, None
-        for b in batches:
-            a, b_, ta, tb = (c.to_pylist() for c in b.columns)
+        for batch in batches:
             out = []
-            for x, y, tx, ty in zip(a, b_, ta, tb, strict=True):
-                if x != left:
-                    left, items = x, shingles(tx, n, words)
-                other = shingles(ty, n, words)
-                common = len(np.intersect1d(items, other, assume_unique=True))
-                if 100 * common >= percent * (len(items) + len(other) - common):
-                    out.append((x, y))
+            for a, other, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = shingles(text, n, words)
+                if not other:
+                    left, items = a, mine
+                    continue
+                common = len(np.intersect1d(items, mine, assume_unique=True))
+                if a == left and 100 * common >= percent * (len(items) + len(mine) - common):
+                    out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return durable(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    dealt = held.repartition(partitions(pairs.sparkSession), "a", "task").sortWithinPartitions("a", "task", "other")
+    return durable(dealt.select("a", "other", F.col("set").alias("b"), "text").mapInArrow(compare, "a long, b long"))
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -438,23 +478,26 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     id link like others, but name no component unless they are alone (null).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    sets = durable(sized_sets(rows, n))
+    sets = durable(sized_sets(rows, n, percent))
+    finer = {r["band"]: r["more"] for r in sets.select(F.explode("fine").alias("band", "more")).groupBy("band").agg(F.max("more").alias("more")).collect()}  # 60 at most
+    sets = sets.drop("fine")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(partitions(spark), -(-total // FLUSH))
+    shards = max(4 * partitions(spark), -(-total // SHARD))
     placed = rows.withColumn("row", row_of())
     where = sets.where("n_shingles > 0").select("set", "row")
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
-    candidates = _refined(rows, n, percent, 0, shards)
+    candidates = _candidates(rows, n, percent, finer, shards)
     links, found, tried = None, None, None
     for step, fine in ((_hubs, False), (_hubs, False), (_hubs, True), (_across, False)):
         if fine:
             candidates = _candidates(_texts(_open_sets(candidates, found, shards), placed, where), n, percent, None, shards)
-        pairs = step(candidates, found, percent, shards)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = step(candidates, found, percent, shards).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"))
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
         new = _verified(pairs, placed, where, n, percent)
         links = new if links is None else links.unionByName(new)
         found = durable(connected_components(links, "a", "b"))

@@ -126,8 +126,11 @@ def test_signatures_meet_whenever_sets_link():
             base = np.unique(base)
             common = len(np.intersect1d(base, other))
             if 100 * common >= 75 * (len(base) + len(other) - common):
-                for refine in (0, None):
-                    a, b = (jaccard.signatures(x, 75, refine) for x in (base, other))
+                finer = {}
+                for band, more in [*jaccard.fineness(base, 75), *jaccard.fineness(other, 75)]:
+                    finer[band] = max(more, finer.get(band, 0))
+                for fine in (finer, None):
+                    a, b = (jaccard.signatures(x, 75, fine) for x in (base, other))
                     meets = [len(np.intersect1d(s, t)) >= max(n, m) for p, s, n in a for q, t, m in b if p == q]
                     assert any(meets)
                 assert common >= jaccard.overlap(len(base), len(other), 75)
