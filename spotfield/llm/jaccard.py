@@ -28,8 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -37,7 +36,7 @@ from .common import durable, partitions, small_batches, to_bytes
 
 SMALL = 64
 #: Signatures that a task holds before it sends them off, and about how many a shard has.
-FLUSH = SHARD = 500_000
+FLUSH, SHARD = 1_000_000, 2_000_000
 #: Sets of one signature that are compared in one task; more are cut into blocks.
 BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -50,27 +49,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, of bounded size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class _Bytes:
+    """Tables for hashing words: a random number for each byte (A-Z as a-z, none for white space) and powers of a multiplier."""
+
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    value = mixed(np.arange(1, 257, dtype=np.uint64) * _M)
+    value[65:91] = value[97:123]
+    value[space] = 0
+    power = np.cumprod(np.full(1024, _M))
+
+    @classmethod
+    def powers(cls, n: int) -> np.ndarray:
+        if n <= 1024:
+            return cls.power
+        return np.cumprod(np.full(n, _M))
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _shingled(raws: list[bytes], n: int) -> list[np.ndarray]:
+    """The sets of some texts, all hashed at once: words from their bytes, sequences from their words."""
+    buf = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    space = _Bytes.space[buf]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate(([0], edges))
+    starts = edges[::2]
+    none = np.zeros(0, np.uint64)
+    if not len(starts):
+        return [none] * len(raws)
+    gaps = np.diff(np.append(starts, len(buf)))
+    at = np.arange(starts[0], len(buf)) - np.repeat(starts, gaps)
+    h = mixed(np.add.reduceat(_Bytes.value[buf[starts[0] :]] * _Bytes.powers(int(gaps.max()))[at], starts - starts[0]))
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
+
+    def sequences(words: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(words) - size + 1, size, np.uint64)
+        for i in range(size):
+            out = out * _M + words[i : len(words) - size + 1 + i]
+        return mixed(out)
+
+    whole = sequences(h, n) if len(h) >= n else none
+    lo, out = 0, []
+    for hi in ends.tolist():
+        out.append(none if hi == lo else _unique(whole[lo : hi - n + 1]) if hi - lo >= n else sequences(h[lo:hi], hi - lo))
+        lo = hi
+    return out
 
 
-def shingles(text: str | None, n: int, words: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct ``n``-word sequences; with fewer words the whole sequence is the only one; none without words."""
-    found = to_bytes(text).lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = out * _M + h[i : len(h) - size + 1 + i]
-    return np.unique(mixed(out))
+def shingle_sets(texts: list[str | None], n: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """Sorted hashes of the distinct ``n``-word sequences of each text; with fewer words the whole sequence is the only one; none
+    without words. About ``most`` bytes are hashed at a time."""
+    out, held, size = [], [], 0
+    for t in texts:
+        held.append(to_bytes(t))
+        size += len(held[-1])
+        if size >= most:
+            out += _shingled(held, n)
+            held, size = [], 0
+    return out + _shingled(held, n) if held else out
 
 
 def set_id(items: np.ndarray) -> int:
@@ -151,6 +192,21 @@ def _pack(kind: int, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(which), pa.int32()), pa.array(which.astype(np.int64)), *(pa.array(p, pa.binary()) for p in packed)], ["kind", "shard", *(f"c{i}" for i in range(len(columns)))])
 
 
+def _pack_sets(many: int, sig: np.ndarray, entry: np.ndarray, sets: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+    """Like ``_pack``, but what belongs to a set is sent once a row with the number of its signatures there."""
+    shard = (sig % np.uint64(many)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, sig, entry = shard[order], (sig[order] >> np.uint64(32)).astype(np.uint32), entry[order]
+    runs = _groups(shard, entry)
+    length, which = np.diff(np.append(runs, len(shard))).astype("<u4"), shard[runs]
+    first = _groups(which)
+    ends = [*first[1:], len(which)]
+    at = [*runs[first], len(shard)]
+    sets, meta = sets[entry[runs]], meta[entry[runs]]
+    packed = [[sig[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], *([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)] for c in (sets, meta, length))]
+    return pa.RecordBatch.from_arrays([pa.array([0] * len(first), pa.int32()), pa.array(which[first]), *(pa.array(p, pa.binary()) for p in packed)], ["kind", "shard", "c0", "c1", "c2", "c3"])
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Whole shards from rows sorted by shard."""
     now, parts = None, []
@@ -187,17 +243,16 @@ def sized_sets(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, row, n_shingles, the set's id and what ``fineness`` its bands need, of every row."""
 
     def run(batches):
-        words = WordHashes()
         for b in batches:
-            sets = [shingles(t, n, words) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1).to_pylist(), n)
             fine = [dict(fineness(s, percent)) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([list(f.items()) for f in fine], pa.map_(pa.int32(), pa.int32()))], ["doc_id", "row", "n_shingles", "set", "fine"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row_of().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set long, fine map<int,int>")
 
 
-def _width(spark, shards: int) -> int:
-    return max(partitions(spark), min(shards // 4, 4 * partitions(spark)))
+def _width(spark: SparkSession, shards: int) -> int:
+    return min(shards, 4 * partitions(spark))
 
 
 def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | None, shards: int) -> DataFrame:
@@ -207,15 +262,15 @@ def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | N
     many = np.uint64(shards)
 
     def sign(batches):
-        words, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def flush():
-            sig, sets, meta = (np.concatenate(c) for c in zip(*held, strict=True))
-            return _pack(0, sig % many, (sig >> np.uint64(32)).astype(np.uint32), sets, meta)
+            sig, sets, meta = zip(*held, strict=True)
+            entry = np.repeat(np.arange(len(sig), dtype=np.uint32), [len(x) for x in sig])
+            return _pack_sets(shards, np.concatenate(sig), entry, np.array(sets, np.int64), np.array(meta, np.uint64))
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                items = shingles(t, n, words)
+            for items in shingle_sets(b.column(0).to_pylist(), n):
                 me = set_id(items)
                 if not len(items) or me in seen:
                     continue
@@ -223,9 +278,10 @@ def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | N
                     seen.clear()
                 seen.add(me)
                 for band, sig, need in signatures(items, percent, finer):
-                    need -= len(sig) - len(np.unique((sig % many) << np.uint64(32) | sig >> np.uint64(32)))
+                    if len(_unique(sig >> np.uint64(32))) < len(sig):
+                        need -= len(sig) - len(_unique((sig % many) << np.uint64(32) | sig >> np.uint64(32)))
                     meta = np.uint64(max(need, 0)) | np.uint64(band) << np.uint64(26) | np.uint64(len(items)) << np.uint64(32)
-                    held.append((sig, np.full(len(sig), me, np.int64), np.full(len(sig), meta, np.uint64)))
+                    held.append((sig, me, meta))
                     size += len(sig)
                 if size >= FLUSH:
                     yield flush()
@@ -234,7 +290,8 @@ def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | N
             yield flush()
 
     def shared(batches):
-        for shard, (sig, sets, meta) in _by_shard(batches, ["<u4", "<i8", "<u8"]):
+        for shard, (sig, sets, meta, times) in _by_shard(batches, ["<u4", "<i8", "<u8", "<u4"]):
+            sets, meta = np.repeat(sets, times), np.repeat(meta, times)
             order = np.lexsort((sets, sig))
             sig, sets, meta = sig[order], sets[order], meta[order]
             once = _groups(sig, sets)
@@ -245,10 +302,10 @@ def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | N
             keep = each > 1
             if keep.any():
                 key = np.uint64(shard) << np.uint64(32) | sig[keep].astype(np.uint64)
-                yield _pack(0, sets[keep].view(np.uint64) % many, key, sets[keep], meta[keep], each[keep].astype(np.uint32))
+                yield _pack(0, sets[keep].view(np.uint64) % many, key, sets[keep], meta[keep], np.minimum(each[keep], 65535).astype("<u2"))
 
     def chosen(batches):
-        for _, (key, sets, meta, count) in _by_shard(batches, ["<u8", "<i8", "<u8", "<u4"]):
+        for _, (key, sets, meta, count) in _by_shard(batches, ["<u8", "<i8", "<u8", "<u2"]):
             band = (meta >> np.uint64(26)) & np.uint64(63)
             order = np.lexsort((key, count, band, sets))
             key, sets, meta, band = key[order], sets[order], meta[order], band[order]
@@ -267,7 +324,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, finer: dict[int, int] | N
             yield _pack(0, sets[keep].view(np.uint64) % many, key[keep], sets[keep], packed[keep], left[keep])
 
     width = _width(spark, shards)
-    signed = docs.select("text").mapInArrow(sign, _schema(3)).repartition(width, "shard").sortWithinPartitions("shard")
+    signed = docs.select("text").mapInArrow(sign, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
     rare = signed.mapInArrow(shared, _schema(4)).repartition(width, "shard").sortWithinPartitions("shard")
     return durable(rare.mapInArrow(chosen, _schema(4)))
 
@@ -447,11 +504,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percen
     held = texts.join(F.broadcast(sends) if sends.count() <= few else sends, "set")
 
     def compare(batches):
-        words, left, items = WordHashes(), None, None
+        left, items = None, None
         for batch in batches:
-            out = []
-            for a, other, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = shingles(text, n, words)
+            out, (names, others, sets, texts) = [], (c.to_pylist() for c in batch.columns)
+            for a, other, b, mine in zip(names, others, sets, shingle_sets(texts, n), strict=True):
                 if not other:
                     left, items = a, mine
                     continue
@@ -484,7 +540,7 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     finer = {r["band"]: r["more"] for r in sets.select(F.explode("fine").alias("band", "more")).groupBy("band").agg(F.max("more").alias("more")).collect()}  # 60 at most
     sets = sets.drop("fine")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(4 * partitions(spark), -(-total // SHARD))
+    shards = max(partitions(spark), -(-total // SHARD))
     placed = rows.withColumn("row", row_of())
     where = sets.where("n_shingles > 0").select("set", "row")
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
