@@ -267,6 +267,29 @@ def test_nearest_neighbours_of_varied_norm(spark, most_lists):
     assert sum(hit) / 2000 >= (0.99 if most_lists == 1 else 0.92) and hit[2] >= 15
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, scale):
+    rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
+    found = collections.defaultdict(set)
+    for r in ann.nearest(rows).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    ids, x = zip(*((r["vec_id"], r["embedding"]) for r in rows.select("vec_id", "embedding").collect()), strict=True)
+    ids, x = np.array(ids), np.array(x, float)
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(found[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())))
+    assert len(found) == len(hits) and np.mean(hits) / 20 >= 0.9
+
+
+def test_nearest_neighbours_of_repeated_ids_and_equal_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (None, [9.0, 9.0]), (3, [-0.0, 1.0])]
+    table = spark.createDataFrame([(i, v, 0.0, 0) for i, v in rows], "vec_id long, embedding array<double>, score double, rank int")
+    got = sorted(tuple(r) for r in ann.nearest(table, k=2).collect())
+    assert got == [(0, 1, 3, 1.0), (0, 2, 1, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0)]
+
+
 def test_urls_follow_redirects(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x", "<link rel='canonical' href='http://b.net/q'>"), (2, "http://B.net/q#z", ""), (3, "http://c.com/", '<meta http-equiv="refresh" content="0; url=http://a.com/x">'), (4, None, None), (5, "zz", ""), (6, "http://d.com/x", '<link href="http://e.example.net/en/1" rel=canonical>'), (7, "http://f.com/", '<link rel="canonical" href="http://d.com/x"><meta http-equiv=refresh content="1;url=//g.net/">'), (8, "http://x.example.com/de/1", ""), (9, "http://y.net", "")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged_pages(pages).collect()}
