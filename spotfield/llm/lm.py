@@ -8,13 +8,20 @@ coded, and their smoothed log10 probabilities in 16 bits, besides a 16-bit back-
 Probabilities: (c(vw) - D) / c(v) + D T(v) / c(v) * P(w) with the add-one unigram P(w); an unseen context
 leaves P(w).
 
-Levels are files in the folder that the cluster shares; tasks map them into memory and score whole texts.
-Only per-bucket counts reach the driver. What is shuffled is each task's distinct pairs.
+Lookups go through the coded levels alone: the pointers of a context bound the places of its successors, and the successor search
+finds the first of them that is no less than the word, by selecting the bucket of its leading bits and halving it on the rest.
+
+Levels are files in the folder that the cluster shares, each written by one task under a name of its own and renamed into place;
+tasks map them into memory and score whole texts. Only per-bucket counts reach the driver. What is shuffled is each
+task's distinct pairs. Words are told apart by 64 bits; more than 2**31 - 1 different ones raise an error, as a pair is a key of
+64 bits.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, shared_folder, to_bytes
+from .common import durable, partitions, shared_folder, small_batches, to_bytes
 
-END, BATCH_TOKENS, NO_BACKOFF = b" end", 2_000_000, 65535
+END, BATCH_TOKENS, NO_BACKOFF = b" end", 1_000_000, 65535
 _STEP = 12.0 / 65534  # log10 probabilities from -12 to 0 in 16 bits
 
 
@@ -39,13 +46,32 @@ def restore(code: np.ndarray) -> np.ndarray:
     return code.astype(np.float64) * -_STEP
 
 
-class EliasFano:
-    """A non-decreasing sequence of non-negative integers in about 2 + log2(largest / n) bits each."""
+_ONES = np.uint64(0x0101010101010101)
+_SELECT = np.zeros((256, 8), np.uint8)  # place of the r-th set bit of a byte
+for _b in range(256):
+    _SELECT[_b, : _b.bit_count()] = [_i for _i in range(8) if _b >> _i & 1]
+
+
+def _select(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the ``r``-th set bit, from 0, in each word."""
+    x = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES  # bits set up to each byte
+    r, at = r.astype(np.uint64), np.zeros(len(words), np.uint64)
+    for step in (32, 16, 8):  # the first byte up to which more than r bits are set
+        below = (upto >> (at + np.uint64(step - 8))) & np.uint64(0xFF)
+        at = at + np.where(below <= r, np.uint64(step), np.uint64(0))
+    before = np.where(at > 0, (upto >> (np.maximum(at, np.uint64(8)) - np.uint64(8))) & np.uint64(0xFF), np.uint64(0))
+    return at.astype(np.int64) + _SELECT[((words >> at) & np.uint64(0xFF)).astype(np.int64), (r - before).astype(np.int64)]
 
-    BLOCK = 512
+
+class EliasFano:
+    """A non-decreasing sequence of non-negative integers in about 2 + log2(largest / n) bits each, with the number of set bits
+    before each word of the leading parts (half a bit for each of their bits)."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,15 +79,14 @@ class EliasFano:
         n = len(v)
         bits = max(0, int(int(v[-1] if n else 0) // max(n, 1)).bit_length() - 1)
         at = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        size = -(-(int(at[-1]) + 1 if n else 1) // cls.BLOCK) * cls.BLOCK
-        high = np.zeros(size, np.uint8)
+        high = np.zeros(((int(at[-1]) + 1 if n else 0) // 64 + 1) * 64, np.uint8)
         high[at] = 1
-        ones = np.concatenate(([0], np.cumsum(high.reshape(-1, cls.BLOCK).sum(1, dtype=np.int64)))).astype("<u4")
+        ones = np.concatenate(([0], np.cumsum(high.reshape(-1, 64).sum(1, dtype=np.int64)))).astype("<u4")
         low = np.zeros(0, np.uint8)
         if bits:
             rest = v & np.uint64((1 << bits) - 1)
             low = np.packbits(((rest[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, bits, np.concatenate([low, np.zeros(8, np.uint8)]), np.packbits(high, bitorder="little"), ones)
+        return cls(n, bits, np.concatenate([low, np.zeros(8, np.uint8)]), np.packbits(high, bitorder="little").view("<u8"), ones)
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], "<u8"), self.low, self.high, self.ones]
@@ -74,83 +99,88 @@ class EliasFano:
         return ((words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        """Values at places ``i``: the block of the i-th set bit from the sampled counts, then its bit there."""
-        block = np.searchsorted(self.ones, i, side="right") - 1
-        bits = np.unpackbits(self.high.reshape(-1, self.BLOCK // 8)[block], axis=1, bitorder="little")
-        place = (np.cumsum(bits, axis=1, dtype=np.uint16) == (i - self.ones[block] + 1)[:, None]).argmax(1)
-        return ((block * self.BLOCK + place - i) << self.low_bits) | self._low(i)
-
-    def decode(self) -> np.ndarray:
-        i = np.arange(self.n)
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return ((at - i) << self.low_bits) | self._low(i)
+        """Values at places ``i``: the word of the i-th set bit from the counts, then its bit there."""
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        place = word * 64 + _select(self.high[word], i - self.ones[word])
+        return ((place - i) << self.low_bits) | self._low(i)
+
+    def _before(self, h: np.ndarray) -> np.ndarray:
+        """How many values have leading parts under ``h``: what stands before the h-th unset bit."""
+        out = np.where(h > 0, self.n, 0)
+        there = np.flatnonzero((h > 0) & (h <= self.zeros[-1]))
+        k = h[there] - 1
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        out[there] = word * 64 + _select(~self.high[word], k - self.zeros[word]) - k
+        return out
 
     def successor(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first place within [lo, hi) whose value is at least the given one; hi if there is none."""
-        lo, hi = lo.copy(), hi.copy()
-        while (busy := np.flatnonzero(lo < hi)).size:
-            mid = (lo[busy] + hi[busy]) >> 1
-            less = self.access(mid) < values[busy]
-            lo[busy[less]], hi[busy[~less]] = mid[less] + 1, mid[~less]
-        return lo
+        h, rest = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
+        a = np.clip(self._before(h), lo, hi)
+        b = np.maximum(a, np.clip(self._before(h + 1), lo, hi))
+        busy = np.flatnonzero(a < b)
+        while len(busy):
+            mid = (a[busy] + b[busy]) >> 1
+            less = self._low(mid) < rest[busy]
+            a[busy[less]], b[busy[~less]] = mid[less] + 1, mid[~less]
+            busy = busy[a[busy] < b[busy]]
+        return a
 
 
 class Shard:
-    """The successors of a range of contexts, and their probability codes."""
+    """The successors of a range of contexts, their probability codes and the contexts' back-off codes."""
 
-    def __init__(self, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.pointers, self.successors, self.codes = pointers, successors, codes
+    def __init__(self, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, back: np.ndarray):
+        self.pointers, self.successors, self.codes, self.back = pointers, successors, codes, back
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray, contexts: int) -> Shard:
-        """From pairs sorted by (context, word); contexts count from 0."""
-        pointers = np.searchsorted(context, np.arange(contexts + 1))
-        last = np.zeros(contexts, np.int64)
+    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray, back: np.ndarray) -> Shard:
+        """From pairs sorted by (context, word); contexts count from 0, and ``back`` has a code for each."""
+        pointers = np.searchsorted(context, np.arange(len(back) + 1))
+        last = np.zeros(len(back), np.int64)
         full = pointers[1:] > pointers[:-1]
         last[full] = word[pointers[1:][full] - 1]
         base = np.concatenate(([0], np.cumsum(last)[:-1]))
-        return cls(EliasFano.of(pointers), EliasFano.of(word + base[context]), codes)
+        return cls(EliasFano.of(pointers), EliasFano.of(word + base[context]), codes, back)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of sorted pairs, -1 where a pair is unknown. Few pairs are searched in the coded successors of their
-        contexts; where they are many, the shard is decoded once."""
+        """Codes of pairs sorted by context, -1 where a pair is unknown, by successor search among each context's successors."""
         n = self.successors.n
         if not n or not len(context):
             return np.full(len(context), -1)
-        if len(context) * 64 < n:
-            lo, hi = self.pointers.access(context), self.pointers.access(context + 1)
-            base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), 0)
-            at = self.successors.successor(word + base, lo, hi)
-            safe = np.minimum(at, n - 1)
-            return np.where((at < hi) & (self.successors.access(safe) == word + base), self.codes[safe].astype(np.int64), -1)
-        pointers, values = self.pointers.decode(), self.successors.decode()
-        owner = np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))
-        base = np.concatenate(([0], values))[pointers[:-1]]
-        keys = (owner << 32) | (values - base[owner])
-        want = (context << 32) | word
-        at = np.minimum(np.searchsorted(keys, want), n - 1)
-        return np.where(keys[at] == want, self.codes[at].astype(np.int64), -1)
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        each = np.diff(np.append(first, len(context)))
+        lo, hi = self.pointers.access(context[first]), self.pointers.access(context[first] + 1)
+        base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), 0)
+        lo, hi, want = np.repeat(lo, each), np.repeat(hi, each), word + np.repeat(base, each)
+        at = self.successors.successor(want, lo, hi)
+        safe = np.minimum(at, n - 1)
+        return np.where((at < hi) & (self.successors.access(safe) == want), self.codes[safe].astype(np.int64), -1)
 
     def write(self, path: str) -> None:
-        """One file: lengths, then the arrays; renamed into place, so a repeated task leaves a whole file."""
-        arrays = [*self.pointers.arrays(), *self.successors.arrays(), self.codes]
-        with open(f"{path}.{os.getpid()}", "wb") as f:
-            f.write(np.array([a.nbytes for a in arrays], "<u8").tobytes())
-            for a in arrays:
-                f.write(a.tobytes())
-        os.replace(f"{path}.{os.getpid()}", path)
+        arrays = [*self.pointers.arrays(), *self.successors.arrays(), self.codes, self.back]
+        _write(path, np.array([a.nbytes for a in arrays], "<u8"), *arrays)
 
     @classmethod
     def read(cls, path: str) -> Shard:
         raw = np.memmap(path, np.uint8, "r")
-        ends = 72 + np.cumsum(raw[:72].view("<u8").astype(np.int64))
-        part = [np.asarray(raw[a:b]) for a, b in zip([72, *ends[:-1]], ends, strict=True)]
+        ends = 80 + np.cumsum(raw[:80].view("<u8").astype(np.int64))
+        part = [np.asarray(raw[a:b]) for a, b in zip([80, *ends[:-1]], ends, strict=True)]
 
         def coded(p):
             n, bits = np.frombuffer(p[0].tobytes(), "<u8").tolist()
-            return EliasFano(n, bits, p[1], p[2], np.frombuffer(p[3].tobytes(), "<u4"))
+            return EliasFano(n, bits, p[1], np.frombuffer(p[2].tobytes(), "<u8"), np.frombuffer(p[3].tobytes(), "<u4"))
 
-        return cls(coded(part[:4]), coded(part[4:8]), np.frombuffer(part[8].tobytes(), "<u2"))
+        return cls(coded(part[:4]), coded(part[4:8]), np.frombuffer(part[8].tobytes(), "<u2"), np.frombuffer(part[9].tobytes(), "<u2"))
+
+
+def _write(path: str, *arrays: np.ndarray) -> None:
+    """One file, renamed into place, so a repeated task leaves a whole file."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        for a in arrays:
+            f.write(a.tobytes())
+    os.replace(own, path)
 
 
 def word_hash(word: bytes) -> int:
@@ -171,7 +201,6 @@ class Levels:
         self.folder, self.words_n, self.total, self.chunk, self.shards = folder, words, total, chunk, {}
         self.hashes = np.memmap(f"{folder}/hashes", "<i8", "r", shape=(words,)) if words else np.zeros(0, np.int64)
         self.counts = np.memmap(f"{folder}/counts", "<i8", "r", shape=(words,)) if words else np.zeros(0, np.int64)
-        self.backoff = np.memmap(f"{folder}/backoff", "<u2", "r", shape=(words + 1,)) if os.path.exists(f"{folder}/backoff") else None
         self.ids: dict[bytes, int] = {}
 
     def id(self, word: bytes) -> int:
@@ -202,22 +231,21 @@ class Levels:
         """log10 P(word | context); ids, -1 for unknown ones."""
         out = uni.copy()
         ok = np.flatnonzero(context >= 0)
-        if self.backoff is None or not len(ok):
+        if not self.words_n or not len(ok):
             return out
-        weight = self.backoff[context[ok]]
-        has = weight != NO_BACKOFF
-        out[ok[has]] += restore(weight[has])
-        both = np.flatnonzero((context >= 0) & (word >= 0))
-        keys, back = np.unique((context[both] << 32) | word[both], return_inverse=True)
-        found = np.full(len(keys), -1)
+        keys, back = np.unique((context[ok] << 32) | (word[ok] + 1), return_inverse=True)
+        codes, weights = np.full(len(keys), -1), np.full(len(keys), NO_BACKOFF)
         owner = (keys >> 32) // self.chunk
-        for k in np.unique(owner):
-            a, b = np.searchsorted(owner, [k, k + 1])
-            if (s := self.shard(int(k))) is not None:
-                found[a:b] = s.find((keys[a:b] >> 32) - k * self.chunk, keys[a:b] & 0xFFFFFFFF)
-        codes = found[back]
-        seen = codes >= 0
-        out[both[seen]] = restore(codes[seen])
+        edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if (s := self.shard(int(owner[a]))) is not None:
+                at = (keys[a:b] >> 32) - int(owner[a]) * self.chunk
+                weights[a:b] = s.back[at]
+                known = np.flatnonzero(keys[a:b] & 0xFFFFFFFF)
+                codes[a + known] = s.find(at[known], (keys[a + known] & 0xFFFFFFFF) - 1)
+        fixed = np.where(codes >= 0, restore(codes), np.where(weights == NO_BACKOFF, 0.0, restore(weights)))[back]
+        seen = (codes >= 0)[back]
+        out[ok] = np.where(seen, fixed, out[ok] + fixed)
         return out
 
 
@@ -242,6 +270,7 @@ def _batches(texts: Iterator[tuple], levels: Levels, size: int) -> Iterator[list
 def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000) -> tuple[str, int, int, int]:
     """Trains on every row's whole text; returns what ``Levels`` opens: folder, words, tokens, contexts per shard."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("text").alias("text"))
     folder = shared_folder(spark, "ngrams")
 
@@ -262,30 +291,46 @@ def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000)
     vocabulary = durable(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).withColumn("bucket", F.shiftright("h", 56).cast("int")))
     buckets = sorted(tuple(r) for r in vocabulary.groupBy("bucket").agg(F.count(F.lit(1)), F.sum("c")).collect())  # 256 at most
     words, total = sum(b[1] for b in buckets), sum(b[2] for b in buckets)
-    if words >= 1 << 31:
-        raise ValueError("more than 2**31 different words")
+    if words >= (1 << 31) - 1:
+        raise ValueError("more than 2**31 - 2 different words")
     starts = dict(zip((b[0] for b in buckets), np.cumsum([0, *(b[1] for b in buckets)])[:-1].tolist(), strict=True))
     if not words:
         return folder, 0, 0, 1
-    for name, width in (("hashes", 8), ("counts", 8), ("backoff", 2)):
-        with open(f"{folder}/{name}", "wb") as f:
-            f.truncate(width * (words + (name == "backoff")))
 
     def write_words(batches):
-        at: dict[int, int] = {}
-        with open(f"{folder}/hashes", "r+b") as hashes, open(f"{folder}/counts", "r+b") as counts:
-            for b in batches:
-                bucket, h, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                for k in np.unique(bucket).tolist():
-                    mine = bucket == k
-                    place = at.get(k, starts[k])
-                    for f, x in ((hashes, h), (counts, c)):
-                        f.seek(8 * place)
-                        f.write(x[mine].astype("<i8").tobytes())
-                    at[k] = place + int(mine.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int32())], ["n"])
+        now, parts, made = None, [], 0
+        for b in batches:
+            bucket, h, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if bucket[lo] != now and parts:
+                    made += finish(now, parts)
+                    parts = []
+                now = int(bucket[lo])
+                parts.append((h[lo:hi], c[lo:hi]))
+        if parts:
+            made += finish(now, parts)
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int32())], ["n"])
+
+    def finish(bucket, parts):
+        for name, x in zip(("hashes", "counts"), zip(*parts, strict=True), strict=True):
+            _write(f"{folder}/{name}-{bucket}", np.concatenate(x).astype("<i8"))
+        return 1
+
+    def join_words(batches):
+        """Level 1 in one file each: a copy of the buckets' files in order, 16 bytes a word."""
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                own = f"{folder}/{name}.{uuid.uuid4().hex}"
+                with open(own, "wb") as to:
+                    for bucket in starts:
+                        with open(f"{folder}/{name}-{bucket}", "rb") as f:
+                            shutil.copyfileobj(f, to, 1 << 24)
+                os.replace(own, f"{folder}/{name}")
+            yield b
 
     vocabulary.select("bucket", "h", "c").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "h").mapInArrow(write_words, "n int").collect()
+    spark.createDataFrame([("hashes",), ("counts",)], "name string").repartition(2).mapInArrow(join_words, "name string").collect()
     shards = max(partitions(spark), -(-total // shard_pairs))
     chunk = max(1, -(-(words + 1) // shards))
     model = (folder, words, total, chunk)
@@ -316,10 +361,7 @@ def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000)
             with np.errstate(divide="ignore", invalid="ignore"):
                 back = np.where(types > 0, quantise(np.log10(np.maximum(discount * types / c, 1e-12))), NO_BACKOFF).astype("<u2")
             p = (n - discount) / c[context] + (discount * types / np.maximum(c, 1))[context] * 10 ** levels.unigram(word)
-            Shard.of(context, word, quantise(np.log10(p)), contexts).write(f"{folder}/pairs-{now}")
-            with open(f"{folder}/backoff", "r+b") as f:
-                f.seek(2 * low)
-                f.write(back.tobytes())
+            Shard.of(context, word, quantise(np.log10(p)), back).write(f"{folder}/pairs-{now}")
 
         for b in batches:
             for shard, keys, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -333,10 +375,6 @@ def train(docs: DataFrame, discount: float = 0.75, shard_pairs: int = 2_000_000)
             made += 1
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.int32())], ["n"])
 
-    with open(f"{folder}/backoff", "r+b") as f:
-        block = np.full(1 << 20, NO_BACKOFF, "<u2").tobytes()
-        for at in range(0, 2 * (words + 1), len(block)):
-            f.write(block[: 2 * (words + 1) - at])
     texts.mapInArrow(count_pairs, "shard long, keys binary, n binary").repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(build, "n int").collect()
     return model
 

@@ -329,7 +329,7 @@ def test_elias_fano_round_trip():
         v = np.sort(rng.integers(0, top + 1, n))
         e = lm.EliasFano.of(v)
         want = rng.integers(0, top + 2, 200)
-        assert (e.decode() == v).all() and (e.access(np.arange(n)) == v).all()
+        assert (e.access(np.arange(n)) == v).all()
         assert (e.successor(want, np.zeros(200, int), np.full(200, n)) == np.searchsorted(v, want)).all()
 
 
