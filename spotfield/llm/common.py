@@ -6,7 +6,7 @@ import os
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import checkpoint_dir, durable  # noqa: F401
@@ -50,3 +50,23 @@ def small_batches(spark: SparkSession) -> None:
     for name, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
         if spark.conf.get(key := f"spark.sql.execution.arrow.{name}") == default:
             spark.conf.set(key, ours)
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with ``place`` (from 0, in ``order``, which tells all rows apart) and, under each name in ``sums``, the sum of that
+    column over the rows before. Ranges are numbered each by itself; only a range's count and sums reach the driver."""
+    spark = rows.sparkSession
+    dealt = durable(rows.repartitionByRange(partitions(spark), *order).withColumn("range", F.spark_partition_id()))
+    totals = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.count(F.lit(1)).cast("double"), *(F.sum(c).cast("double") for c in sums.values())).collect())
+    offsets, now = [], [0.0] * (1 + len(sums))
+    for part, *own in totals:
+        offsets.append((part, *now))
+        now = [a + b for a, b in zip(now, own, strict=True)]
+    names = [f"before_{i}" for i in range(1 + len(sums))]
+    before = spark.createDataFrame(offsets, "range int, " + ", ".join(f"{n} double" for n in names))  # a row for each range
+    inside = Window.partitionBy("range").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(F.broadcast(before), "range").withColumn("place", (F.col(names[0]) + F.row_number().over(inside) - 1).cast("long"))
+    for n, (name, column) in zip(names[1:], sums.items(), strict=True):
+        found = found.withColumn(name, F.col(n) + F.coalesce(F.sum(column).over(earlier), F.lit(0.0)))
+    return found.drop("range", *names)

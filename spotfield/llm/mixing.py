@@ -23,40 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, to_bytes
+from .common import durable, partitions, running
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, digest of the text, and size: its words, runs of other than ASCII white space; null texts: 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(to_bytes(t).split()) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "digest", "size"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("digest"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, digest long, size long")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("digest"), words.alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, source_size, target. One row per source, so its windows are as small as the list of sources.
+    """source, source_size, target.
 
     Sources in code point order, null last, take the weights in turn. With r = cap * size / weight ascending,
-    a source is capped if the level that the sources from it on would share lies above its r.
+    a source is capped if the level that the sources from it on would share lies above its r. Both orders are made by
+    ranges, so any number of sources can be dealt with.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
-    by_source = sized.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
-    rated = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int"))).withColumn("limit", F.col("source_size") * cap)
-    up = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    share = (F.sum("source_size").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * budget - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levelled = rated.withColumn("share", share).withColumn("level", F.min(F.when(F.col("share") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "share"))).over(whole))
-    target = F.least(F.coalesce(F.col("level.share") * F.col("weight"), F.col("limit")), F.col("limit"))
-    return levelled.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    turned = running(by_source, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    rated = turned.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap))).withColumn("r", F.col("limit") / F.col("weight")).drop("place")
+    filled = durable(running(rated, [F.col("r"), F.col("source").asc_nulls_last()], {"limits": "limit", "weights": "weight"}))
+    words, weight = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    share = (F.lit(float((words or 0) * budget)) - F.col("limits")) / (F.lit(float(weight or 1)) - F.col("weights"))
+    level = filled.withColumn("share", share).where(F.col("share") * F.col("weight") <= F.col("limit")).agg(F.min(F.struct("r", "limits", "weights", "share"))["share"]).first()[0]
+    target = F.col("limit") if level is None else F.least(F.lit(level) * F.col("weight"), F.col("limit"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 _IN = ["doc_id", "source", "digest", "size", "source_size", "target", "base", "p", "node"]
