@@ -96,29 +96,56 @@ def _rule_sql(host: str, path: str) -> str:
     return f"CASE {' '.join(fits)} END"
 
 
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_HOST, _PATH = r"'^(?s:.*?)://([^/?#]*)'", r"'^(?s:.*?)://[^/?#]*([^?#]*)'"
+_CODE = "CASE WHEN {r} IN ('example.net/en/', 'org/fr/') THEN 2 WHEN {r} IS NOT NULL THEN 1 ELSE 0 END"
+
+
+def _judged_sql(url: str) -> str:
+    return _CODE.format(r="(" + _rule_sql(f"coalesce(translate(regexp_extract({url}, {_HOST}, 1), {_AZ}), '')", f"coalesce(regexp_extract({url}, {_PATH}, 1), '')") + ")")
+
+
+def _node_sql(url: str) -> str:
+    whole = f"regexp_replace({url}, '#(?s:.*)$', '')"
+    rest = f"regexp_extract({whole}, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1)"
+    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({whole}, '^((?s:.*?))://', 1), {_AZ}) || '://' || translate(regexp_extract({whole}, {_HOST}, 1), {_AZ}) || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+def _undotted_sql(path: str) -> str:
+    fold = r"list_reduce(list_prepend('', list_slice(string_split(P, '/'), 2, 1000000000)), lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)"
+    return (fold + r" || CASE WHEN regexp_matches(P, '/\.{1,2}$') THEN '/' ELSE '' END").replace("P", path)
+
+
 _OP7 = rf"""
-WITH RECURSIVE u AS (
-  SELECT page_id, url, html,
-    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), {_AZ}), '') AS host,
-    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_extract(url, '^(?s:(.*?))://', 1) AS scheme FROM pages),
+WITH RECURSIVE tag AS (
+  SELECT url, list_transform(regexp_extract_all(html, {_sql(urls._TAG)}), lambda t: regexp_replace(t, '\s+', ' ', 'g')) AS t FROM pages WHERE html IS NOT NULL),
 raw AS (
-  SELECT url, scheme, host, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>|<link\b[^>]*\bhref[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM u),
-t AS (SELECT url, CASE WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE replace(t, '&amp;', '&') END AS t FROM raw WHERE t <> ''),
-both_ AS (SELECT url AS x FROM t UNION SELECT t FROM t UNION SELECT url FROM u),
-node AS (
-  SELECT x, CASE WHEN contains(x, '://') THEN translate(regexp_extract(y, '^(?s:(.*?))://', 1), {_AZ}) || '://' || translate(regexp_extract(y, '^(?s:.*?)://([^/?#]*)', 1), {_AZ})
-    || CASE WHEN regexp_extract(y, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1) = '' THEN '/' ELSE regexp_extract(y, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1) END END AS n
-  FROM (SELECT x, regexp_replace(x, '#(?s:.*)$', '') AS y FROM both_)),
-l AS (SELECT DISTINCT a.n AS i, b.n AS j FROM t JOIN node a ON a.x = t.url JOIN node b ON b.x = t.t WHERE a.n <> b.n),
+  SELECT url, replace(unnest(list_concat(
+    list_transform(list_filter(t, lambda x: regexp_matches(x, {_sql(urls._CANONICAL)})), lambda x: regexp_extract(x, {_sql(urls._HREF)}, 1)),
+    list_transform(list_filter(t, lambda x: regexp_matches(x, {_sql(urls._REFRESH)})), lambda x: regexp_extract(x, {_sql(urls._URL)}, 1)))), '&amp;', '&') AS t FROM tag),
+part AS (
+  SELECT url, t, regexp_replace(url, '[?#](?s:.*)$', '') AS base, regexp_replace(t, '[?#](?s:.*)$', '') AS own, regexp_extract(t, '[?#](?s:.*)$') AS rest FROM raw WHERE t <> ''),
+piece AS (
+  SELECT *, regexp_extract(base, '^((?s:.*?))://', 1) AS scheme, regexp_extract(base, {_HOST}, 1) AS host, regexp_extract(base, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1) AS path FROM part),
+full_ AS (
+  SELECT *, scheme || '://' || host AS site, CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || own END AS whole_path FROM piece),
+link AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN NOT contains(url, '://') OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '?') THEN base || t ELSE site || ({_undotted_sql("whole_path")}) || rest END AS t FROM full_),
+ends AS (SELECT {_node_sql("url")} AS i, {_node_sql("t")} AS j, {_judged_sql("url")} AS of_i, {_judged_sql("t")} AS of_j FROM link),
+l AS (SELECT * FROM ends WHERE i <> j),
 e AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
+own AS (SELECT n, max(c) AS c FROM (SELECT i AS n, of_i AS c FROM l UNION ALL SELECT j, of_j FROM l) GROUP BY 1),
 reach AS (SELECT i AS a, i AS b FROM e UNION SELECT reach.a, e.j FROM reach JOIN e ON e.i = reach.b),
-judged AS (SELECT a, {_rule_sql("translate(regexp_extract(b, '^(?s:.*?)://([^/?#]*)', 1), " + _AZ + ")", "regexp_extract(b, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)")} AS r FROM reach),
-alias AS (SELECT a, max(CASE WHEN r IN ('example.net/en/', 'org/fr/') THEN 2 WHEN r IS NOT NULL THEN 1 ELSE 0 END) AS d FROM judged GROUP BY 1),
-own AS (SELECT page_id, url, host, path, {_rule_sql("host", "path")} AS rule FROM u)
+alias AS (SELECT a, max(c) AS d FROM reach JOIN own ON n = b GROUP BY 1),
+u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, {_HOST}, 1), {_AZ}), '') AS host, coalesce(regexp_extract(url, {_PATH}, 1), '') AS path, {_node_sql("url")} AS n FROM pages),
+ruled AS (SELECT *, {_rule_sql("host", "path")} AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN d = 1 THEN 'block' ELSE 'allow' END AS verdict
-FROM own LEFT JOIN node ON node.x = own.url LEFT JOIN alias ON alias.a = node.n
+FROM ruled LEFT JOIN alias ON alias.a = n
 """
 
 ORACLES = {"op2_ngram_jaccard_join": _OP2, "op7_url_filters": _OP7}

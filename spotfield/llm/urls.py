@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from .common import durable
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_CANONICAL = r"""(?i)^<link\b.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+_REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -56,30 +60,67 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.translate(scheme, UPPER, LOWER), F.lit("://"), F.translate(host, UPPER, LOWER), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(i, j): a page's url and the one that it redirects to or calls canonical. Links from the root are completed; others
-    that lack a scheme are ignored."""
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    folded = F.aggregate(
+        F.slice(F.split(path, "/"), 2, 1 << 30),
+        F.lit(""),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)),
+    )
+    return F.concat(folded, F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The link as a whole url, seen from ``url``. Null for links that lead elsewhere than to a host (``mailto:``) or stay on the
+    page (``#part``), and for those without a scheme on a page whose url has none."""
+    base = F.regexp_replace(url, r"[?#][\s\S]*$", "")
+    scheme, host, path = (F.regexp_extract(base, r"^([\s\S]*?)://([^/?#]*)([\s\S]*)$", i) for i in (1, 2, 3))
+    site, rest = F.concat(scheme, F.lit("://"), host), F.regexp_extract(link, r"[?#][\s\S]*$", 0)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    own = F.regexp_replace(link, r"[?#][\s\S]*$", "")
+    relative = (
+        F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(site, without_dots(own), rest))
+        .when(link.startswith("?"), F.concat(base, link))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(url.contains("://") & ~link.startswith("#") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+
+
+def alias_edges(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """(i, j, of_i, of_j): nodes of a page's url and of each url that it redirects to or calls canonical, and what rules say of
+    the urls themselves: 2 to allow, 1 to block, 0 nothing. Links that lack a scheme are resolved against the page's url; ``base``
+    tags have no effect."""
     url = F.col("url")
-    linked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select(url, F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("to")).where("to <> ''")
-    to = F.regexp_replace("to", "&amp;", "&")
-    scheme = F.regexp_extract(url, r"^([\s\S]*?)://", 1)
-    whole = F.when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), to)).otherwise(to)
-    return linked.select(node_of(url).alias("i"), node_of(whole).alias("j")).where("i is not null and j is not null and i <> j").distinct()
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    flat = F.transform(tags, lambda t: F.regexp_replace(t, r"\s+", " "))
+    canonical = F.transform(F.filter(flat, lambda t: t.rlike(_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1))
+    refresh = F.transform(F.filter(flat, lambda t: t.rlike(_REFRESH)), lambda t: F.regexp_extract(t, _URL, 1))
+    linked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select(url, F.explode(F.concat(canonical, refresh)).alias("to")).where("to <> ''")
+    ends = linked.select(url, resolved(url, F.regexp_replace("to", "&amp;", "&")).alias("to"))
+
+    def code(u: Column) -> Column:
+        verdict = _verdict(rule_of(host_of(u), path_of(u), rules), rules)
+        return F.when(verdict == "allow", 2).when(verdict == "block", 1).otherwise(0)
+
+    pairs = ends.select(node_of(url).alias("i"), node_of(F.col("to")).alias("j"), code(url).alias("of_i"), code(F.col("to")).alias("of_j"))
+    return pairs.where("i is not null and j is not null and i <> j").groupBy("i", "j").agg(F.max("of_i").alias("of_i"), F.max("of_j").alias("of_j"))
 
 
 def judged_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
-    Null urls and urls without ``://`` have an empty host and path, fit no rule and are allowed. Pages that repeat are
-    judged alike. An empty table gives an empty one.
+    Null urls and urls without ``://`` have an empty host and path, fit no rule and are allowed; a null html has no links. An
+    empty path and ``/`` are one node, but each url is judged by its own path. Pages that repeat are judged alike, with the links
+    of all. Extra columns have no effect. An empty table gives an empty one.
     """
     url = F.col("url")
     rows = pages.select(F.col("page_id"), url, host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    edges = alias_edges(pages.select("url", "html"))
+    edges = durable(alias_edges(pages.select("url", "html"), rules))
     found = connected_components(edges)
-    own = _verdict(rule_of(host_of(F.col("node")), path_of(F.col("node")), rules), rules)
-    groups = found.withColumn("own", own).groupBy("component").agg(F.max(F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0)).alias("decision"))
+    own = edges.select(F.col("i").alias("node"), F.col("of_i").alias("own")).unionByName(edges.select(F.col("j").alias("node"), F.col("of_j").alias("own"))).groupBy("node").agg(F.max("own").alias("own"))
+    groups = found.join(own, "node").groupBy("component").agg(F.max("own").alias("decision"))
     decided = found.join(groups, "component").where("decision = 1").select("node", F.lit("block").alias("alias_verdict"))
     open_ = rows.where("rule is null and node is not null").join(decided, "node", "left").drop("node", "url")
     ruled = rows.where("rule is not null or node is null").drop("node", "url").withColumn("alias_verdict", F.lit(None).cast("string"))

@@ -290,10 +290,41 @@ def test_nearest_neighbours_of_repeated_ids_and_equal_vectors(spark):
     assert got == [(0, 1, 3, 1.0), (0, 2, 1, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0)]
 
 
+PAGES = [
+    (1, "http://a.com/x", "<link rel='canonical' href='http://b.net/q'>"),
+    (2, "http://B.net/q#z", ""),
+    (3, "http://c.com/", '<meta http-equiv="refresh" content="0; url=http://a.com/x">'),
+    (4, None, None),
+    (5, "zz", "<link rel=canonical href=/x>"),
+    (6, "http://d.com/x", '<link href="http://e.example.net/en/1" rel=canonical>'),
+    (7, "http://f.com/", '<link rel="canonical" href="http://d.com/x"><meta http-equiv=refresh content="1;url=//g.net/">'),
+    (8, "http://x.example.com/de/1", ""),
+    (9, "http://y.net", ""),
+    (10, "http://h.com/p/q/r.html?a=1", '<link rel="alternate canonical"\n href="../s/./t.html?b=2#c">'),
+    (11, "http://h.com/p/s/t.html?b=2", '<LINK REL=canonical HREF="http://k.net/">'),
+    (12, "http://l.com/z", '<link rel="canonical" href="http://y.net">'),
+    (13, "http://m.com", '<link rel="canonical" href="?v=1"><link rel="canonical" href="n/o"><link rel="stylesheet" href="http://q.net/canonical">'),
+    (14, "http://m.com/n/o", '<meta http-equiv=refresh content="0;url=http://r.net/1">'),
+    (15, "http://m.com?v=1", ""),
+    (16, "http://s.com/a", '<link rel=canonical href="#top"><link rel=canonical href="mailto:x@y.net">'),
+    (16, "http://s.com/a", '<link rel=canonical href="http://t.org/fr/..">'),
+    (17, "http://t.org/fr/..", '<link rel=canonical href="http://u.net/1">'),
+]
+
+
 def test_urls_follow_redirects(spark):
-    pages = spark.createDataFrame([(1, "http://a.com/x", "<link rel='canonical' href='http://b.net/q'>"), (2, "http://B.net/q#z", ""), (3, "http://c.com/", '<meta http-equiv="refresh" content="0; url=http://a.com/x">'), (4, None, None), (5, "zz", ""), (6, "http://d.com/x", '<link href="http://e.example.net/en/1" rel=canonical>'), (7, "http://f.com/", '<link rel="canonical" href="http://d.com/x"><meta http-equiv=refresh content="1;url=//g.net/">'), (8, "http://x.example.com/de/1", ""), (9, "http://y.net", "")], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged_pages(pages).collect()}
-    assert got == {1: ("a.com", "/x", None, "block"), 2: ("b.net", "/q", "net/", "block"), 3: ("c.com", "/", None, "block"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("d.com", "/x", None, "allow"), 7: ("f.com", "/", None, "allow"), 8: ("x.example.com", "/de/1", "example.com/de/", "block"), 9: ("y.net", "", None, "allow")}
+    import duckdb
+
+    pages = spark.createDataFrame([(*p, "x", "y") for p in PAGES], "page_id long, url string, html string, host string, rule string")
+    rows = [tuple(r) for r in urls.judged_pages(pages).collect()]
+    got = {r[0]: r[1:] for r in rows}
+    assert len(rows) == len(PAGES)
+    assert {i: (r[2], r[3]) for i, r in got.items()} == {1: (None, "block"), 2: ("net/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "block"), 12: (None, "allow"), 13: (None, "block"), 14: (None, "block"), 15: (None, "block"), 16: (None, "allow"), 17: ("org/fr/", "allow")}
+    assert got[8][:2] == ("x.example.com", "/de/1") and got[2][:2] == ("b.net", "/q") and got[4][:2] == ("", "")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
+    assert sorted(map(str, con.execute(queries.ORACLES["op7_url_filters"]).fetchall())) == sorted(map(str, rows))
     assert urls.judged_pages(pages.limit(0)).count() == 0
 
 
@@ -350,18 +381,183 @@ def test_all_ten_are_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 
 
-def test_pipeline_equals_its_stages(spark):
+def filled_targets(size, weights=(3.0, 1.0, 2.0), budget=1.5, cap=2.0):
+    """Targets by filling: all sources share what is left by weight, those above their limit are fixed, again and again."""
+    order = sorted((x for x in size if x is not None)) + [None] * (None in size)
+    weight = {x: weights[i % 3] for i, x in enumerate(order)}
+    fixed, rest = {}, budget * sum(size.values())
+    while True:
+        free = [x for x in order if x not in fixed]
+        share = {x: rest * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = [x for x in free if share[x] > cap * size[x]]
+        if not over:
+            return fixed | share
+        for x in over:
+            fixed[x] = cap * size[x]
+            rest -= fixed[x]
+
+
+def words_of(text):
+    return len((text or "").encode().split())
+
+
+def check_mix(rows, taken, repeats=None):
+    """``rows``: (id, source, text); ``taken``: words that the mix takes, by source."""
+    size, largest = collections.Counter(), collections.Counter()
+    for _, source, text in rows:
+        size[source] += words_of(text)
+        largest[source] = max(largest[source], words_of(text))
+    want = filled_targets(dict(size))
+    assert all(abs(taken.get(x, 0) - want[x]) <= largest[x] + 1e-6 for x in size)
+    return size, want
+
+
+@pytest.mark.parametrize("scale", ["small", "sf0.01"])
+def test_mixing_against_brute_force(spark, docs, scale):
+    table = docs if scale == "small" else spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in table.collect()]
+    got, taken = mixing.mix(table, leaf_rows=100, fan_in=3).collect(), collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    size, want = check_mix(rows, taken)
+    assert all(r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(want[r["source"]], rel=1e-12) for r in got)
+    assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((i, words_of(t)) for i, _, t in rows)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"s{i}": int(rng.integers(0, 9)) ** 3 for i in range(500)} | {None: 100, "": 7}
+    rows = [(i, "w " * n, "en", x) for i, (x, n) in enumerate(sizes.items())]
+    want = filled_targets(sizes)
+    got = {r["source"]: r["target"] for r in mixing.targets(mixing.sizes(make(spark, rows))).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-9, abs=1e-9) for x in want)
+
+
+def packed_size(text, dictionary, level):
+    import zstandard
+
+    made = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(level=level)
+    return len(zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_dict_id=False).compress(text.encode()))
+
+
+def language_of(text, model):
+    """(language or und, accepted) by compressing anew."""
+    words = compression.letters(text or "")
+    if not words:
+        return "und", False
+    sizes = sorted((packed_size(words, d, model.level), i) for i, d in enumerate(model.dictionaries))
+    return model.languages[sizes[0][1]], (sizes[1][0] - sizes[0][0]) / sizes[1][0] >= model.margins[min(len(words.encode()).bit_length(), 15)]
+
+
+def good(text, model):
+    raw = text or ""
+    x = (packed_size(raw, model.bad, model.level) - packed_size(raw, model.good, model.level)) / len(raw.encode()) if raw else 0.0
+    return 1 / (1 + math.exp(-(model.slope * x + model.offset))) >= 0.3
+
+
+def test_classifiers_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    told = [(r["lang_pred"], known[r["doc_id"]], r["accepted"]) for r in queries.op5_language_id(spark, d).collect() if r["held_out"] and known[r["doc_id"]]]
+    assert len(told) > 2000 and np.mean([a == b for a, b, _ in told]) >= 0.99 and np.mean([x for *_, x in told]) >= 0.98
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    scored = [(r["score"], label[r["doc_id"]]) for r in queries.op10_quality_classifier(spark, d).collect() if r["held_out"] and label.get(r["doc_id"]) in (0, 1)]
+    x, y = (np.array([s for s, q in scored if q == want]) for want in (1, 0))
+    assert len(x) > 500 and len(y) > 50 and (x[:, None] > y[None]).mean() >= 0.96 and (x >= 0.3).mean() >= 0.95
+
+
+def test_margins_follow_length():
+    told = [(9, 0.2 + i / 1000) for i in range(100)] + [(12, 0.5)] * 60 + [(14, 0.01)] * 3
+    got = compression.margins_of(told)
+    assert got[0] == got[9] == got[11] == pytest.approx(0.1, abs=0.01) and got[12] == got[15] == 0.25 and compression.margins_of([]) == (0.0,) * 16
+
+
+def test_sample_takes_no_more_than_its_bound_and_ignores_double_labels(spark):
+    rows = [(i, f"{'good day' if i % 2 else 'bad night'} {i} " * 9, "en", "s") for i in range(300)] + [(900, "both", "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(300)] + [(900, 0, "z"), (900, 1, "z"), (901, 7, "z"), (None, 1, "z"), (5, None, "z")], "doc_id long, quality int, text string")
+    ranked = compression.ranked_sample(labels.where("quality in (0, 1)").selectExpr("quality AS label", "coalesce(doc_id, -1) AS key"), {0: 151, 1: 152}, 10).collect()
+    assert collections.Counter(r["label"] for r in ranked) == {0: 10, 1: 10}
+    model = compression.fit_quality(make(spark, rows), labels)
+    assert b"both" not in model.good + model.bad and b"night" in model.bad and b"night" not in model.good
+    for r in compression.quality_scores(make(spark, rows), model).collect():
+        assert r["predicted"] == good(r["text"], model)
+
+
+ODD = [(1000, None, None, None), (1001, "", "en", None), (1002, " \n\t ", "de", "s1"), (1003, "one two", "de", "s1"), (None, "no id " * 40, "en", "s2"), (1004, "word " * 40000, "en", "s0"), (1005, "12 34 !? " * 50, "en", "s3")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    given = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    return make(spark, given + ODD + given[:3] + [(2000, given[5][1], "en", "s9"), (given[7][0], given[8][1], "en", "s9")])
+
+
+def test_every_stage_on_odd_rows_against_brute_force(spark, odd, empty):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    same = lambda rows: collections.Counter(map(str, rows))
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    for f in stages:
+        assert f(spark, empty, d).count() == 0
+    now = odd.collect()
+
+    quality = compression.fit_quality(odd, spark.read.parquet(f"{d}/labels.parquet").where(queries.fold("doc_id", 5) != 0))
+    kept = stages[0](spark, odd, d)
+    want = [r for r in now if good(r["text"], quality)]
+    assert kept.columns == odd.columns and same(kept.collect()) == same(want) and 0.5 * len(now) < len(want) < len(now)
+
+    now, table = want, spark.createDataFrame(want, odd.schema)
+    model = compression.fit_languages(table.where(~F.coalesce(queries.fold("doc_id", 4) == 2, F.lit(False))))
+    want = [r for r in now if language_of(r["text"], model)[1]]
+    assert same(stages[1](spark, table, d).collect()) == same(want) and 0.9 * len(now) < len(want) < len(now)
+
+    now = want + [r for r in now if r not in want and not (r["text"] or "").split()]  # some without words again
+    table = spark.createDataFrame(now, odd.schema)
+    sets = list(shingle_sets(enumerate(r["text"] for r in now)).values())
+    name = list(range(len(now)))
+    for a, b in itertools.combinations(range(len(now)), 2):
+        if sets[a] and name[a] != name[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            name = [name[a] if x == name[b] else x for x in name]
+    got = stages[2](spark, table, d).collect()
+    assert not same(got) - same(now) and len(got) == len({x for x, s in zip(name, sets, strict=True) if s}) + sum(not s for s in sets)
+    for group in {x for x, s in zip(name, sets, strict=True) if s}:
+        members = [r for r, x in zip(now, name, strict=True) if x == group]
+        mine = [r for r in got if r in members]
+        least = min((r["doc_id"] for r in members if r["doc_id"] is not None), default=None)
+        assert len(mine) == 1 and mine[0]["doc_id"] == least
+
+    now, table = got, spark.createDataFrame(got, odd.schema)
+    mixed = stages[3](spark, table, d).collect()
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r["source"]] += words_of(r["text"])
+    check_mix([(r["doc_id"], r["source"], r["text"]) for r in now], taken)
+    assert all(n <= 2 * same(now)[r] for r, n in same(mixed).items()) and same(mixed) == same(stages[3](spark, table, d).collect())
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = stages[4](spark, spark.createDataFrame(mixed, odd.schema), d).collect()
+    want = []
+    for r in mixed:
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(r["doc_id"], k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert same([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed]) == same(want)
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert all(o == sum(n for p, n in b if p < o) for o, _ in b) and sum(n for _, n in b) <= 2048
+    assert len(bins) <= 1 + 1.02 * sum(r["length"] for r in packed) / 2048
+
+
+def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
-    rows = spark.read.parquet(f"{d}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:2]:
-        kept = stage(spark, rows, d)
-        assert kept.columns == rows.columns and kept.count() <= rows.count()
-        rows = kept
-    sets = shingle_sets([(r["doc_id"], r["text"]) for r in rows.collect()])
-    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, d).collect()}
-    for a, b in itertools.combinations(sorted(kept), 2):
-        common = len(sets[a] & sets[b])
-        assert not (common and 100 * common >= 75 * len(sets[a] | sets[b]))
-    assert corpus_pipeline.run(spark, d).count() > 0
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(docs.select(columns).collect()) == sorted(corpus_pipeline.run(spark, d).select(columns).collect())
