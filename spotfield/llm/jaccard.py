@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, contracted
 from .common import durable, partitions, small_batches, to_bytes
 
 SMALL = 64
@@ -556,7 +556,7 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
         new = _verified(pairs, placed, where, n, percent)
         links = new if links is None else links.unionByName(new)
-        found = durable(connected_components(links, "a", "b"))
+        found = durable(connected_components(contracted(links.select(F.lit("").alias("sample"), F.col("a").alias("i"), F.col("b").alias("j")))))
     if found is None:
         found = spark.createDataFrame([], "node long, component long")
     member = classes.join(found, classes["set"] == found["node"], "left").select("set", "first", F.coalesce("component", "set").alias("component"))
