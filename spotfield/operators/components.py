@@ -48,29 +48,52 @@ def connected_components(edges: DataFrame, a: str = "i", b: str = "j", max_round
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def components_by_sample(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node that it reaches) that connect what the given ones do."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, name = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:  # hook the larger name onto the smaller one, then shorten all chains
+        x, y = name[a], name[b]
+        new = name.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == name).all():
+            return nodes, nodes[name]
+        name = new
+
+
+def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """Edges (sample, i, j) with the same components, of which each task makes a forest for every ``most`` edges or so."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def made():
+            rows = pd.concat(held, ignore_index=True)
+            for sample, own in rows.groupby("sample", sort=False):
+                node, root = forest(own["i"].to_numpy(), own["j"].to_numpy())
+                apart = node != root
+                yield pd.DataFrame({"sample": sample, "i": node[apart], "j": root[apart]})
+
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= most:
+                yield from made()
+                held, size = [], 0
+        if size:
+            yield from made()
+
+    return edges.where("sample is not null and i <> j").select("sample", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).mapInPandas(run, "sample string, i long, j long")
+
+
+def components_by_sample(edges: DataFrame) -> DataFrame:
     """(sample, spot, component) from edges (sample, i, j); components are named by their smallest spot.
 
-    Samples are independent, so where none has more than ``most_edges`` edges each is solved in one task; beyond that the
-    star contraction runs over all samples at once. Both give the same result.
+    Tasks contract the edges that they read to forests, so few rounds of the star contraction are left, which runs over all
+    samples at once.
     """
-    edges = durable(edges.select("sample", "i", "j").where("i <> j"))
-    largest = edges.groupBy("sample").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        node = lambda c: F.struct("sample", F.col(c).alias("spot"))
-        return connected_components(edges.select(node("i").alias("i"), node("j").alias("j"))).select("node.sample", "node.spot", F.col("component.spot").alias("component"))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        spots, ends = np.unique(rows[["i", "j"]].to_numpy(), return_inverse=True)
-        ends, name = ends.reshape(-1, 2), np.arange(len(spots))
-        while True:  # hook the larger name onto the smaller one, then shorten all chains
-            a, b = name[ends[:, 0]], name[ends[:, 1]]
-            new = name.copy()
-            np.minimum.at(new, np.maximum(a, b), np.minimum(a, b))
-            while (new != new[new]).any():
-                new = new[new]
-            if (new == name).all():
-                return pd.DataFrame({"sample": rows["sample"].iloc[0], "spot": spots, "component": spots[name]})
-            name = new
-
-    return edges.groupBy("sample").applyInPandas(solve, "sample string, spot long, component long")
+    node = lambda c: F.struct("sample", F.col(c).alias("spot"))
+    found = connected_components(contracted(edges.select("sample", "i", "j")).select(node("i").alias("i"), node("j").alias("j")))
+    return found.select("node.sample", "node.spot", F.col("component.spot").alias("component"))
