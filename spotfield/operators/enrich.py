@@ -90,7 +90,7 @@ def context_scores(z: DataFrame, mode: str) -> DataFrame:
 def context_coverage(values: DataFrame, programs: DataFrame, min_fraction: float = 0.01) -> DataFrame:
     """Requested genes with detection; missing ones stay."""
     det = values.groupBy("sample", "program", "gene").agg(F.avg((F.col("e") > 0).cast("double")).alias("detection_fraction"))
-    rows = values.select("sample").distinct().join(F.broadcast(programs)).join(det, ["sample", "program", "gene"], "left")
+    rows = values.select("sample").distinct().crossJoin(programs).join(det, ["sample", "program", "gene"], "left")
     return rows.select("sample", F.col("program").alias("field"), "gene", "requested_order", F.when(F.col("detection_fraction").isNull(), "missing").otherwise("present").alias("status"), "detection_fraction", F.coalesce(F.col("detection_fraction") >= min_fraction, F.lit(False)).alias("expressed"))
 
 
@@ -110,4 +110,4 @@ def joint_state(scores: DataFrame, q: float = 0.8) -> DataFrame:
     t = wide.groupBy("sample").agg(percentile("h", q).alias("th"), percentile("v", q).alias("tv"))
     h, v = F.col("h") >= F.col("th"), F.col("v") >= F.col("tv")
     state = F.when(h & v, "H_high_V_high").when(h, "H_high_V_low").when(v, "H_low_V_high").otherwise("H_low_V_low")
-    return wide.join(F.broadcast(t), "sample").select("sample", "spot", "h", "v", h.alias("h_high"), v.alias("v_high"), state.alias("joint_state"))
+    return wide.join(t, "sample").select("sample", "spot", "h", "v", h.alias("h_high"), v.alias("v_high"), state.alias("joint_state"))

@@ -11,10 +11,13 @@ from .neighbors import symmetric
 
 
 def gradient(fields: DataFrame, edges: DataFrame, decimals: int = 9) -> DataFrame:
-    """g = mean |r_i - r_j| over neighbours; 0 for isolated spots."""
-    r = fields.select("sample", "spot", "r")
-    pair = symmetric(edges).join(r, ["sample", "spot"]).join(r.toDF("sample", "other", "ro"), ["sample", "other"])
-    g = pair.groupBy("sample", "spot").agg(F.round(F.avg(F.abs(F.col("r") - F.col("ro"))), decimals).alias("g"))
+    """g = mean |r_i - r_j| over neighbours; 0 for isolated spots. The mean is taken of whole units of the last decimal and
+    rounded half up in whole numbers, so ties fall alike everywhere."""
+    unit = 10**decimals
+    r = fields.select("sample", "spot", F.round(F.col("r") * unit).cast("long").alias("u"))
+    pair = symmetric(edges).join(r, ["sample", "spot"]).join(r.toDF("sample", "other", "uo"), ["sample", "other"])
+    g = pair.groupBy("sample", "spot").agg(F.sum(F.abs(F.col("u") - F.col("uo"))).alias("total"), F.count("uo").alias("n"))
+    g = g.select("sample", "spot", (F.expr("(2 * total + n) div (2 * n)") / F.lit(float(unit))).alias("g"))
     return fields.join(g, ["sample", "spot"], "left").fillna(0.0, ["g"])
 
 
@@ -22,7 +25,7 @@ def high_mask(fields: DataFrame, column: str, q: float, name: str) -> DataFrame:
     """V >= quantile, inclusive; nothing is high without two values and spread."""
     t = fields.groupBy("sample").agg(percentile(column, q).alias("t"), (F.max(column) - F.min(column)).alias("range"), F.count(column).alias("n"))
     high = F.coalesce((F.col("n") >= 2) & (F.col("range") > EPS * 100) & (F.col(column) >= F.col("t")), F.lit(False))
-    return fields.join(F.broadcast(t), "sample").withColumn(name, high).drop("t", "range", "n")
+    return fields.join(t, "sample").withColumn(name, high).drop("t", "range", "n")
 
 
 def masks(fields: DataFrame, cq: float = 0.8, sq: float = 0.8, gq: float = 0.6) -> DataFrame:
@@ -45,7 +48,7 @@ def adjacency_metrics(fields: DataFrame, edges: DataFrame) -> DataFrame:
     """A10: signs of r with a neutral band at its 20 % quantile of |r|; shares of edges that agree, touch neutral, oppose, cross 0."""
     neutral = fields.groupBy("sample").agg(percentile("abs(r)", 0.2).alias("band"))
     sign = F.when(F.col("r") > F.col("band"), 1).when(F.col("r") < -F.col("band"), -1).otherwise(0)
-    r = fields.join(F.broadcast(neutral), "sample").select("sample", "spot", "r", sign.alias("sign"))
+    r = fields.join(neutral, "sample").select("sample", "spot", "r", sign.alias("sign"))
     e = edges.select("sample", "i", "j").join(r.toDF("sample", "i", "ri", "si"), ["sample", "i"]).join(r.toDF("sample", "j", "rj", "sj"), ["sample", "j"])
     share = lambda c: F.avg(c.cast("double"))
     si, sj, ri, rj = (F.col(x) for x in ("si", "sj", "ri", "rj"))
@@ -86,11 +89,11 @@ def threshold_perturbation(fields: DataFrame, edges: DataFrame, cqs=(0.75, 0.8,
     pick = lambda i, qs: F.element_at(F.array(*map(F.lit, qs)), F.col(i) + 1)
     grid = q.select("sample", pick("ci", cqs).alias("c_q"), pick("si", sqs).alias("s_q"), pick("gi", gqs).alias("g_q"), "vc", "vs", "vg").withColumn("cell", F.concat_ws("|", "sample", "c_q", "s_q", "g_q"))
     c, s, g = F.col("c") >= F.col("vc"), F.col("s") >= F.col("vs"), F.col("g") >= F.col("vg")
-    m = fields.join(F.broadcast(grid), "sample").select(F.col("cell").alias("sample"), "spot", "r", (c & s & g).alias("interface"), (g & (c | s) & ~(c & s & g)).alias("diffuse"))
-    cells = edges.join(F.broadcast(grid.select("sample", "cell")), "sample").select(F.col("cell").alias("sample"), "i", "j")
+    m = fields.join(grid, "sample").select(F.col("cell").alias("sample"), "spot", "r", (c & s & g).alias("interface"), (g & (c | s) & ~(c & s & g)).alias("diffuse"))
+    cells = edges.join(grid.select("sample", "cell"), "sample").select(F.col("cell").alias("sample"), "i", "j")
     parts = component_summary(m, cells, "diffuse")
     share = m.groupBy("sample").agg(F.avg(F.col("interface").cast("double")).alias("interface_fraction"), F.avg(F.col("diffuse").cast("double")).alias("diffuse_fraction"))
-    rows = share.join(parts, "sample", "left").fillna(0.0).withColumnRenamed("sample", "cell").join(F.broadcast(grid), "cell").join(adjacency_metrics(fields, edges), "sample", "left").withColumn("regime_label", regime(F.col("interface_fraction"), F.col("diffuse_fraction")))
+    rows = share.join(parts, "sample", "left").fillna(0.0).withColumnRenamed("sample", "cell").join(grid, "cell").join(adjacency_metrics(fields, edges), "sample", "left").withColumn("regime_label", regime(F.col("interface_fraction"), F.col("diffuse_fraction")))
     return rows.select("sample", "c_q", "s_q", "g_q", "regime_label", F.when(F.col("regime_label") == "Type B", pattern()).otherwise("not_applicable").alias("type_b_subtype"), "interface_fraction", "diffuse_fraction")
 
 
@@ -99,7 +102,7 @@ def spot_state_labels(masked: DataFrame, cq: float = 0.8, sq: float = 0.8) -> Da
     t = masked.groupBy("sample").agg(percentile("c", cq).alias("tc"), percentile("s", sq).alias("ts"))
     ch, sh = F.col("c") >= F.col("tc"), F.col("s") >= F.col("ts")
     state = F.when(F.col("interface"), "localized_interface_like").when(F.col("diffuse"), "diffuse_transition").when(sh & ~ch, "S_dominant").when(ch & ~sh, "C_dominant").otherwise("balanced_or_transition_like")
-    return masked.join(F.broadcast(t), "sample").select("sample", "spot", state.alias("state"), (F.col("interface") | F.col("diffuse") | (ch & sh)).alias("transition_like"))
+    return masked.join(t, "sample").select("sample", "spot", state.alias("state"), (F.col("interface") | F.col("diffuse") | (ch & sh)).alias("transition_like"))
 
 
 def graph_qc(spots: DataFrame, edges: DataFrame, long_factor: float = 3.0) -> DataFrame:

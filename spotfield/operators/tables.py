@@ -6,8 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Marker sets and patterns of the candidate tables.
-KNOWN_RECEPTORS = "AXL CCR2 CCR5 CD274 CTLA4 CXCR3 CXCR4 EGFR ERBB2 ERBB3 ERBB4 FAS FGFR1 FGFR2 FGFR3 FLT1 HAVCR2 IL6R IL6ST KDR LAG3 MET PDCD1 PDGFRA PDGFRB TGFBR1 TGFBR2 TIGIT TNFRSF1A".split()
-KNOWN_LIGANDS = "AREG CCL2 CCL5 CD274 CXCL10 CXCL12 CXCL9 EGF EREG FASLG FGF1 FGF2 GAS6 HGF IFNG IL10 IL6 PDGFA PDGFB SPP1 TGFA TGFB1 TGFB2 TNF VEGFA VEGFB WNT5A".split()
+KNOWN_RECEPTORS = [
+    "AXL", "CCR2", "CCR5", "CD274", "CTLA4", "CXCR3", "CXCR4", "EGFR", "ERBB2", "ERBB3",
+    "ERBB4", "FAS", "FGFR1", "FGFR2", "FGFR3", "FLT1", "HAVCR2", "IL6R", "IL6ST", "KDR",
+    "LAG3", "MET", "PDCD1", "PDGFRA", "PDGFRB", "TGFBR1", "TGFBR2", "TIGIT", "TNFRSF1A",
+]
+KNOWN_LIGANDS = [
+    "AREG", "CCL2", "CCL5", "CD274", "CXCL10", "CXCL12", "CXCL9", "EGF", "EREG", "FASLG",
+    "FGF1", "FGF2", "GAS6", "HGF", "IFNG", "IL10", "IL6", "PDGFA", "PDGFB", "SPP1",
+    "TGFA", "TGFB1", "TGFB2", "TNF", "VEGFA", "VEGFB", "WNT5A",
+]
 RECEPTOR = r"^(?:GPR|ADGR|IL\d*R|CXCR|CCR|TNFRSF|TGFBR|FGFR|ERBB|PTPR|CD\d)"
 TRANSPORTER = r"^(?:SLC|ABCA|ABCB|ABCC|ATP\d|KCN|SCN|CACNA|CLCN)"
 SURFACE = r"^(?:CD\d|CLDN|ITGA|ITGB|EPCAM|MCAM|MUC\d)"
@@ -28,12 +36,14 @@ def resolve(genes: DataFrame, programs: DataFrame) -> DataFrame:
 
 
 def receptor_filter(candidates: DataFrame) -> DataFrame:
-    """Receptor, transporter and surface genes with a priority; others leave."""
+    """Receptor, transporter and surface genes with flags, the reasons and a priority, by falling priority; others leave. A
+    missing or unreadable score counts as 0, as does a missing score column."""
     g = F.upper("gene")
-    rec, tra, sur = g.isin(KNOWN_RECEPTORS) | g.rlike(RECEPTOR), g.rlike(TRANSPORTER), g.rlike(SURFACE)
-    kind = F.concat_ws(";", F.when(rec, "receptor"), F.when(tra, "transporter"), F.when(sur, "surface"))
-    score = F.col("candidate_score") + rec.cast("double") + 0.5 * tra.cast("double") + 0.5 * sur.cast("double")
-    return candidates.select("gene", "candidate_score", kind.alias("membrane_class"), score.alias("priority_score")).where("membrane_class <> ''")
+    rec, tra, sur = (F.coalesce(x, F.lit(False)) for x in (g.isin(KNOWN_RECEPTORS) | g.rlike(RECEPTOR), g.rlike(TRANSPORTER), g.rlike(SURFACE)))
+    base = F.coalesce(F.col("candidate_score").try_cast("double"), F.lit(0.0)) if "candidate_score" in candidates.columns else F.lit(0.0)
+    reason = F.concat_ws(";", F.when(rec, "receptor_like"), F.when(tra, "transporter_like"), F.when(sur, "surface_like"))
+    found = candidates.withColumns({"receptor_like": rec, "membrane_like": rec | tra | sur, "transporter_like": tra, "surface_like": sur, "annotation_reason": reason, "priority_score": base + rec.cast("double") + 0.5 * tra.cast("double") + 0.5 * sur.cast("double")})
+    return found.where("membrane_like").orderBy(F.desc("priority_score"), "gene")
 
 
 def annotate_sequences(candidates: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def ligand_receptor_pairs(ligands: DataFrame, receptors: DataFrame, most: int =
     """Pairs in nested order, at most ``most``; only that many of each side can take part, so the product stays bounded."""
     left = ligands.select("ligand", "ligand_order").orderBy("ligand_order").limit(most)
     right = receptors.select("receptor", "receptor_order").orderBy("receptor_order").limit(most)
-    return left.join(F.broadcast(right)).orderBy("ligand_order", "receptor_order").limit(most).select("ligand", "receptor")
+    return left.crossJoin(right).orderBy("ligand_order", "receptor_order").limit(most).select("ligand", "receptor")
 
 
 def fasta_records(rows: DataFrame) -> DataFrame:
@@ -73,7 +83,7 @@ def evidence_plan(pairs: DataFrame) -> DataFrame:
 def exclude_opposite(candidates: DataFrame, opposite: DataFrame) -> DataFrame:
     """Candidates with a flag for those that the other program holds."""
     other = opposite.select(F.upper("gene").alias("key")).distinct().withColumn("excluded", F.lit(True))
-    return candidates.join(F.broadcast(other), F.upper(candidates["gene"]) == other["key"], "left").select(candidates["*"], F.coalesce("excluded", F.lit(False)).alias("excluded"))
+    return candidates.join(other, F.upper(candidates["gene"]) == other["key"], "left").select(candidates["*"], F.coalesce("excluded", F.lit(False)).alias("excluded"))
 
 
 def binary_mask(c: str) -> Column:

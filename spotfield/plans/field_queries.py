@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import fields as ff
 from ..operators import matrix as mm
 from ..operators import neighbors as nn
-from ..operators.components import connected_components
+from ..functions.durable import durable
+from ..operators.components import components_by_sample
 from ..sources import adapters as ad
-from .support import ADJ, CNT, DENSE, FIELDS, GRAPH, HEXE, MASKS, MATRIX, NN, PAIR, PROG, SPOTS, SYM, comp_sql, r, rounded
+from .support import ADJ, CNT, DENSE, FIELDS, GRAPH, HEXE, MASKS, MATRIX, NN, PAIR, PROG, SPOTS, SYM, comp_sql, exact, r, rounded
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, decimals: int = 6):
+    """Registers a query; results that an operator has rounded to 9 decimals are given so, not rounded again."""
+
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), decimals)
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -33,24 +36,33 @@ def programs(s):
     return ad.program_table(s, C=ad.C_GENES, S=ad.S_GENES)
 
 
+def expression(s, d):
+    """The matrix, aggregated once: it is read for the genes that are there, its kind and its values."""
+    return durable(ad.customer_expr(s, d))
+
+
 def zscores(s, d):
-    return mm.gene_zscore(mm.dense(spots(s, d), ad.customer_expr(s, d), programs(s)))
+    return mm.gene_zscore(durable(mm.dense(spots(s, d), expression(s, d), programs(s))))
 
 
 def scores(s, d):
-    return mm.program_scores(zscores(s, d))
+    return durable(mm.program_scores(zscores(s, d)))
+
+
+def knn6(s, d):
+    return durable(nn.knn_graph(spots(s, d), 6))
 
 
 def hexagons(s, d):
     return nn.radius_graph(spots(s, d), 2.0)
 
 
-def field_table(s, d):
-    return ff.gradient(scores(s, d), nn.knn_graph(spots(s, d), 6))
+def field_table(s, d, edges=None):
+    return durable(ff.gradient(scores(s, d), knn6(s, d) if edges is None else edges))
 
 
-def masked(s, d):
-    return ff.masks(field_table(s, d))
+def masked(s, d, edges=None):
+    return durable(ff.masks(field_table(s, d, edges)))
 
 
 @query(f"WITH {MATRIX} SELECT 'cust' AS sample, spot, program, gene, {r('e', 'e')}, {r('z', 'z')} FROM z")
@@ -58,7 +70,7 @@ def gene_zscore(s, d):
     return zscores(s, d).select("sample", "spot", "program", "gene", "e", "z")
 
 
-@query(f"WITH {MATRIX} SELECT 'cust' AS sample, spot, {r('c', 'c')}, {r('s', 's')}, {r('r', 'r')} FROM cs")
+@query(f"WITH {MATRIX} SELECT 'cust' AS sample, spot, {exact('c')}, {exact('s')}, {exact('r')} FROM cs", decimals=9)
 def program_scores(s, d):
     return scores(s, d)
 
@@ -68,17 +80,17 @@ def knn_graph(s, d):
     return nn.knn_graph(spots(s, d), 6)
 
 
-@query(f"WITH {FIELDS} SELECT 'cust' AS sample, spot, {r('c', 'c')}, {r('s', 's')}, {r('r', 'r')}, {r('g', 'g')} FROM f")
+@query(f"WITH {FIELDS} SELECT 'cust' AS sample, spot, {exact('c')}, {exact('s')}, {exact('r')}, {exact('g')} FROM f", decimals=9)
 def gradient_field(s, d):
     return field_table(s, d)
 
 
-@query(f"WITH {MATRIX} SELECT 'cust' AS sample, spot, {r('c', 'c')}, c >= (SELECT quantile_cont(c, 0.8) FROM cs) AS high_c FROM cs")
+@query(f"WITH {MATRIX} SELECT 'cust' AS sample, spot, {exact('c')}, c >= (SELECT quantile_cont(c, 0.8) FROM cs) AS high_c FROM cs", decimals=9)
 def high_mask(s, d):
     return ff.high_mask(scores(s, d), "c", 0.8, "high_c").select("sample", "spot", "c", "high_c")
 
 
-@query(f"WITH {MASKS} SELECT 'cust' AS sample, spot, {r('c', 'c')}, {r('s', 's')}, {r('r', 'r')}, {r('g', 'g')}, high_c, high_s, high_g, interface, diffuse FROM m")
+@query(f"WITH {MASKS} SELECT 'cust' AS sample, spot, {exact('c')}, {exact('s')}, {exact('r')}, {exact('g')}, high_c, high_s, high_g, interface, diffuse FROM m", decimals=9)
 def field_masks(s, d):
     return masked(s, d)
 
@@ -101,8 +113,8 @@ _PATTERN = "CASE WHEN regime_label <> 'Type B' THEN 'not_applicable' WHEN adj_ze
     r("CASE WHEN ni > 0 THEN i_n / ni ELSE 0 END", "interface_fragmentation_index"), r("adj_same_fraction", "adj_same_fraction"), r("adj_zero_fraction", "adj_zero_fraction"), r("adj_opposite_fraction", "adj_opposite_fraction"), r("r_crossing_fraction", "r_crossing_fraction"),
     r("0.5 * fd + 0.25 * g_q90 + CASE WHEN nd > 0 THEN 0.25 * (1 - d_l) ELSE 0 END", "transition_burden_score"), "regime_label", _PATTERN + " AS public_transition_pattern"))))
 def sample_metrics(s, d):
-    e = nn.knn_graph(spots(s, d), 6).persist()
-    return ff.sample_metrics(ff.masks(ff.gradient(scores(s, d), e)).persist(), e)
+    e = knn6(s, d)
+    return ff.sample_metrics(masked(s, d, e), e)
 
 
 @query(_metrics_sql(f"'cust' AS sample, regime_label, {_PATTERN} AS public_transition_pattern"))
@@ -151,7 +163,7 @@ def gene_qc_filter(s, d):
 
 
 @query(f"""WITH {SPOTS}, {CNT}, v AS (SELECT gene, round(sum(ln(1 + v) * ln(1 + v)) / (SELECT count(*) FROM spots) - power(sum(ln(1 + v)) / (SELECT count(*) FROM spots), 2), 9) AS variance FROM cnt GROUP BY 1),
-k AS (SELECT gene, variance, row_number() OVER (ORDER BY variance DESC, gene) AS rank FROM v) SELECT 'cust' AS sample, gene, {r('variance', 'variance')}, CAST(rank AS INT) AS rank FROM k WHERE rank <= 6""")
+k AS (SELECT gene, variance, row_number() OVER (ORDER BY variance DESC, gene) AS rank FROM v) SELECT 'cust' AS sample, gene, {exact('variance')}, CAST(rank AS INT) AS rank FROM k WHERE rank <= 6""", decimals=9)
 def adaptive_topk_genes(s, d):
     genes = sorted(f"Brand#{i}" for i in range(1, 60))
     return mm.adaptive_topk(spots(s, d), ad.customer_expr(s, d), ad.program_table(s, X=tuple(genes)).select("gene", "requested_order"), 6)
@@ -213,7 +225,8 @@ def graph_mean_smooth(s, d):
 
 @query(f"WITH {FIELDS}, {ADJ} SELECT 'cust' AS sample, {', '.join(r(x, x) for x in ('adj_same_fraction', 'adj_zero_fraction', 'adj_opposite_fraction', 'r_crossing_fraction'))} FROM adj")
 def adjacency_metrics(s, d):
-    return ff.adjacency_metrics(field_table(s, d), nn.knn_graph(spots(s, d), 6))
+    e = knn6(s, d)
+    return ff.adjacency_metrics(field_table(s, d, e), e)
 
 
 @query(f"WITH {SPOTS}, {PAIR}, {HEXE} SELECT 'cust' AS sample, i, j FROM e ORDER BY md5(concat_ws(':', 42, i, j)), i, j LIMIT 500")
@@ -227,8 +240,9 @@ def plot_edge_sample(s, d):
 
 @query(f"WITH RECURSIVE {MASKS}, on_ AS (SELECT spot FROM m WHERE high_g), x AS (SELECT i, j FROM sym WHERE i IN (SELECT spot FROM on_) AND j IN (SELECT spot FROM on_)), re AS (SELECT i AS a, i AS b FROM x UNION SELECT re.a, x.j FROM re JOIN x ON x.i = re.b) SELECT a AS node, min(b) AS component FROM re GROUP BY 1")
 def connected_components_of_high_gradient(s, d):
-    m, e = masked(s, d).where("high_g").select("spot"), nn.knn_graph(spots(s, d), 6)
-    return connected_components(e.join(m.toDF("i"), "i", "left_semi").join(m.toDF("j"), "j", "left_semi"))
+    e = knn6(s, d)
+    m = masked(s, d, e).where("high_g").select("spot")
+    return components_by_sample(e.join(m.toDF("i"), "i", "left_semi").join(m.toDF("j"), "j", "left_semi")).select(F.col("spot").alias("node"), "component")
 
 
 QUERIES["connected_components"], ORACLES["connected_components"] = QUERIES.pop("connected_components_of_high_gradient"), ORACLES.pop("connected_components_of_high_gradient")
@@ -236,7 +250,8 @@ QUERIES["connected_components"], ORACLES["connected_components"] = QUERIES.pop("
 
 @query(f"WITH RECURSIVE {MASKS}, {comp_sql('diffuse')} SELECT 'cust' AS sample, component, size FROM co_diffuse")
 def mask_components(s, d):
-    return ff.mask_components(masked(s, d), nn.knn_graph(spots(s, d), 6), "diffuse")
+    e = knn6(s, d)
+    return ff.mask_components(masked(s, d, e), e, "diffuse")
 
 
 @query(f"WITH {SPOTS}, {PAIR}, {HEXE}, {SYM} SELECT 'cust' AS sample, spot, (SELECT count(*) FROM sym WHERE sym.i = spots.spot) AS degree FROM spots")
@@ -244,9 +259,11 @@ def degree_table(s, d):
     return ff.degree_table(spots(s, d), hexagons(s, d))
 
 
-@query(f"""WITH {SPOTS}, {PAIR}, {HEXE}, {SYM}, dg AS (SELECT spot, (SELECT count(*) FROM sym WHERE sym.i = spots.spot) AS degree FROM spots),
+@query(f"""WITH RECURSIVE {SPOTS}, {PAIR}, {HEXE}, {SYM}, re AS (SELECT spot AS a, spot AS b FROM spots UNION SELECT re.a, sym.j FROM re JOIN sym ON sym.i = re.b),
+co AS (SELECT count(*) AS nc, max(size) AS largest FROM (SELECT c, count(*) AS size FROM (SELECT a, min(b) AS c FROM re GROUP BY 1) GROUP BY 1)), du AS (SELECT count(*) - count(DISTINCT concat_ws(',', array_col, array_row)) AS dup FROM spots), dg AS (SELECT spot, (SELECT count(*) FROM sym WHERE sym.i = spots.spot) AS degree FROM spots),
 a AS (SELECT count(*) AS n, min(degree) AS mi, quantile_cont(degree, 0.5) AS md, avg(degree) AS av, max(degree) AS ma, sum(CAST(degree = 0 AS BIGINT)) AS iso FROM dg), b AS (SELECT count(*) AS ne, quantile_cont(dist, 0.5) AS dm, quantile_cont(dist, 0.95) AS dq, max(dist) AS dx FROM e)
-SELECT 'cust' AS sample, n AS n_spots, mi AS degree_min, {r('md', 'degree_median')}, {r('av', 'degree_mean')}, ma AS degree_max, CAST(iso AS BIGINT) AS isolated_spots, CAST(1 AS BIGINT) AS n_components, ne AS n_edges, {r('dm', 'distance_median')}, {r('dq', 'distance_q95')}, {r('dx', 'distance_max')}, CAST(0 AS BIGINT) AS duplicate_coordinates, {r('2 * ne / (n * (n - 1))', 'density')}, {r('1', 'largest_component_ratio')}, '' AS warnings FROM a, b""")
+SELECT 'cust' AS sample, n AS n_spots, mi AS degree_min, {r('md', 'degree_median')}, {r('av', 'degree_mean')}, ma AS degree_max, CAST(iso AS BIGINT) AS isolated_spots, nc AS n_components, ne AS n_edges, {r('dm', 'distance_median')}, {r('dq', 'distance_q95')}, {r('dx', 'distance_max')}, dup AS duplicate_coordinates, {r('2 * ne / (n * (n - 1))', 'density')}, {r('largest / n', 'largest_component_ratio')},
+concat_ws(';', CASE WHEN iso / n > 0.1 THEN 'many_isolated' END, CASE WHEN largest / n < 0.8 THEN 'fragmented' END, CASE WHEN md < 2 THEN 'low_degree' END) AS warnings FROM a, b, co, du""")
 def graph_qc(s, d):
     return ff.graph_qc(spots(s, d), hexagons(s, d))
 
@@ -266,8 +283,8 @@ SELECT 'cust' AS sample, c_q, s_q, g_q, regime_label, {_PATTERN} AS type_b_subty
 
 @query(_grid_sql())
 def threshold_perturbation(s, d):
-    e = nn.knn_graph(spots(s, d), 6).persist()
-    return ff.threshold_perturbation(ff.gradient(scores(s, d), e).persist(), e)
+    e = knn6(s, d)
+    return ff.threshold_perturbation(field_table(s, d, e), e)
 
 
 @query(f"""WITH {MASKS} SELECT 'cust' AS sample, spot, CASE WHEN interface THEN 'localized_interface_like' WHEN diffuse THEN 'diffuse_transition' WHEN high_s AND NOT high_c THEN 'S_dominant' WHEN high_c AND NOT high_s THEN 'C_dominant' ELSE 'balanced_or_transition_like' END AS state, interface OR diffuse OR (high_c AND high_s) AS transition_like FROM m""")

@@ -17,6 +17,11 @@ def r(x: str, name: str = "") -> str:
     return f"round(CAST({x} AS DOUBLE), 6) + CAST(0 AS DOUBLE)" + (f" AS {name}" if name else "")
 
 
+def exact(x: str) -> str:
+    """A column that is rounded already, as it is."""
+    return f"CAST({x} AS DOUBLE) + CAST(0 AS DOUBLE) AS {x}"
+
+
 def genes_sql(*programs: tuple[str, tuple[str, ...]]) -> str:
     return "VALUES " + ", ".join(f"('{p}', '{g}', {i + 1})" for p, genes in programs for i, g in enumerate(genes))
 
@@ -34,7 +39,7 @@ NN = "nn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FR
 KNN6 = "e AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sqrt(min(d2)) AS dist FROM nn WHERE k <= 6 GROUP BY 1, 2)"
 HEXE = "e AS (SELECT i, j, sqrt(d2) AS dist FROM pair WHERE i < j AND d2 <= 4)"
 SYM = "sym AS (SELECT i, j, dist FROM e UNION ALL SELECT j, i, dist FROM e)"
-G = "f AS (SELECT cs.*, coalesce(g.g, 0) AS g FROM cs LEFT JOIN (SELECT a.spot, round(avg(abs(a.r - b.r)), 9) AS g FROM cs a JOIN sym ON sym.i = a.spot JOIN cs b ON b.spot = sym.j GROUP BY 1) g ON g.spot = cs.spot)"
+G = "f AS (SELECT cs.*, coalesce(g.g, 0) AS g FROM cs LEFT JOIN (SELECT a.spot, CAST((2 * sum(abs(CAST(round(a.r * 1e9) AS BIGINT) - CAST(round(b.r * 1e9) AS BIGINT))) + count(*)) // (2 * count(*)) AS DOUBLE) / 1e9 AS g FROM cs a JOIN sym ON sym.i = a.spot JOIN cs b ON b.spot = sym.j GROUP BY 1) g ON g.spot = cs.spot)"
 MASK = """t AS (SELECT quantile_cont(c, 0.8) AS tc, quantile_cont(s, 0.8) AS ts, quantile_cont(g, 0.6) AS tg FROM f),
 m AS (SELECT f.*, c >= tc AS high_c, s >= ts AS high_s, g >= tg AS high_g, c >= tc AND s >= ts AND g >= tg AS interface, g >= tg AND (c >= tc OR s >= ts) AND NOT (c >= tc AND s >= ts AND g >= tg) AS diffuse FROM f, t)"""
 

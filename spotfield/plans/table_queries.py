@@ -60,9 +60,11 @@ def gene_resolve(s, d):
 _REC, _TRA, _SUR = f"(upper(gene) IN {_in(tt.KNOWN_RECEPTORS)} OR regexp_matches(upper(gene), '{tt.RECEPTOR}'))", f"regexp_matches(upper(gene), '{tt.TRANSPORTER}')", f"regexp_matches(upper(gene), '{tt.SURFACE}')"
 
 
-@query(f"WITH {CAND} SELECT * FROM (SELECT gene, {r('candidate_score', 'candidate_score')}, concat_ws(';', CASE WHEN {_REC} THEN 'receptor' END, CASE WHEN {_TRA} THEN 'transporter' END, CASE WHEN {_SUR} THEN 'surface' END) AS membrane_class, {r(f'candidate_score + CAST({_REC} AS INT) + 0.5 * CAST({_TRA} AS INT) + 0.5 * CAST({_SUR} AS INT)', 'priority_score')} FROM cand) WHERE membrane_class <> ''")
+@query(f"""WITH {CAND}, fl AS (SELECT id, gene, CASE WHEN id % 7 = 0 THEN NULL ELSE candidate_score END AS candidate_score, {_REC} AS receptor_like, {_TRA} AS transporter_like, {_SUR} AS surface_like FROM cand)
+SELECT id, gene, {r('candidate_score', 'candidate_score')}, receptor_like, true AS membrane_like, transporter_like, surface_like, concat_ws(';', CASE WHEN receptor_like THEN 'receptor_like' END, CASE WHEN transporter_like THEN 'transporter_like' END, CASE WHEN surface_like THEN 'surface_like' END) AS annotation_reason,
+{r('coalesce(candidate_score, 0) + CAST(receptor_like AS INT) + 0.5 * CAST(transporter_like AS INT) + 0.5 * CAST(surface_like AS INT)', 'priority_score')} FROM fl WHERE receptor_like OR transporter_like OR surface_like""")
 def receptor_filter(s, d):
-    return tt.receptor_filter(candidates(s, d))
+    return tt.receptor_filter(candidates(s, d).drop("p_name").withColumn("candidate_score", F.when(F.col("id") % 7 != 0, F.col("candidate_score"))))
 
 
 @query(f"WITH {CAND} SELECT id, gene, upper(gene) IN {_in(tt.KNOWN_LIGANDS)} AS is_ligand, upper(gene) IN {_in(tt.KNOWN_RECEPTORS)} AS is_receptor, '' AS protein_id, '' AS sequence FROM cand")
