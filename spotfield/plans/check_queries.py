@@ -11,12 +11,14 @@ from ..operators import fields as ff
 from ..operators import graphs as gr
 from ..operators import matrix as mm
 from ..operators import optimizer as op
+from ..operators import summary as sm
 from ..operators import tables as tt
 from ..sources import adapters as ad
 from . import field_queries as fq
 from .support import CNT, HEXE, MASKS, PAIR, SPOTS, SYM, r, rounded
 
 QUERIES, ORACLES = {}, {}
+METRICS = ("sample", "n_spots", "interface_fraction", "interface_spots", "diffuse_fraction", "diffuse_spots", "c_mean", "s_mean", "r_mean", "r_sd", "r_dynamic_range", "g_mean", "g_q90", "n_interface_components", "largest_interface_component_ratio", "interface_small_fraction", "interface_coherence_score", "n_diffuse_components", "largest_diffuse_component_ratio", "diffuse_small_fraction", "diffuse_coherence_score", "interface_fragmentation_index", "adj_same_fraction", "adj_zero_fraction", "adj_opposite_fraction", "r_crossing_fraction", "transition_burden_score", "regime_label", "public_transition_pattern")
 
 
 def query(sql: str | None = None):
@@ -155,3 +157,38 @@ SELECT 'cust' AS sample, field, {r('avg(CAST(gene IN (SELECT gene FROM lib) AS I
 def context_gate(s, d):
     programs = ad.program_table(s, H=(*ad.H_GENES, "Brand#99"), V=ad.V_GENES)
     return ck.coverage_gate(en.context_coverage(mm.dense(fq.spots(s, d), fq.expression(s, d), programs), programs))
+
+
+def _dominant(value: str, where: str) -> str:
+    return f"(SELECT struct_pack(v := {value}, s := n / total) FROM (SELECT {value}, count(*) AS n, sum(count(*)) OVER () AS total, min(c_q * 10000 + s_q * 100 + g_q) AS first FROM grid {where} GROUP BY 1) ORDER BY n DESC, first LIMIT 1)"
+
+
+_GRID = f"grid AS ({fq.ORACLES['threshold_perturbation']}), dr AS (SELECT {_dominant('regime_label', '')} AS a, {_dominant('type_b_subtype', 'WHERE regime_label = ' + chr(39) + 'Type B' + chr(39))} AS b)"
+_CHECKED = ck.check_programs([*ad.C_GENES, "brand#1", "Brand#99"], list(ad.S_GENES))
+_HAVE = "upper(gene) IN (SELECT upper(gene) FROM cnt)"
+
+
+def _listed(genes, having: str) -> str:
+    rows = ", ".join(f"('{g}', {i})" for i, g in enumerate(genes))
+    return f"(SELECT coalesce(string_agg(gene, ';' ORDER BY i), '') FROM (VALUES {rows}) v(gene, i) WHERE {having}{_HAVE})"
+
+
+def _coverage(genes) -> str:
+    return f"(SELECT avg(CAST({_HAVE} AS INT)) FROM (VALUES {', '.join(f'({chr(39)}{g}{chr(39)})' for g in genes)}) v(gene))"
+
+
+@query(f"""WITH {_GRID} SELECT 'cust' AS sample, (SELECT count(*) FROM grid) AS robustness_grid_evaluated, a.v AS dominant_regime, {r('a.s', 'regime_stability')}, coalesce(b.v, 'not_applicable') AS "dominant_typeB_subtype", {r('b.s', 'subtype_stability')} FROM dr""")
+def robustness_summary(s, d):
+    e = fq.knn6(s, d)
+    return sm.robustness(ff.threshold_perturbation(fq.field_table(s, d, e), e))
+
+
+@query(f"""WITH {CNT}, {_GRID}, base AS ({fq.ORACLES['sample_metrics']}), k AS (SELECT (SELECT count(DISTINCT gene) FROM cnt) AS n_genes, {_coverage(_CHECKED.c_genes)} AS cc, {_coverage(_CHECKED.s_genes)} AS sc, {len(_CHECKED.c_genes)} AS nc, {len(_CHECKED.s_genes)} AS ns)
+SELECT base.*, n_genes, n_spots || 'x' || n_genes AS matrix_shape, {r('n_spots * n_genes * 8 / 1e9', '"dense_float64_GB"')}, '{';'.join(_CHECKED.c_genes)}' AS "C_gene_set", {_listed(_CHECKED.c_genes, '')} AS "C_genes_present", {_listed(_CHECKED.c_genes, 'NOT ')} AS "C_genes_missing", {r('cc', '"C_gene_coverage"')}, {_listed(_CHECKED.s_genes, '')} AS "S_genes_present", {r('sc', '"S_gene_coverage"')},
+true AS unique_feature_names, 'PASS' AS spatial_qc_status, CASE WHEN least(cc, sc) < 0.5 THEN 'low_gene_program_coverage' WHEN least(cc, sc) < 0.8 THEN 'partial_gene_program_coverage' ELSE '' END AS qc_notes, CASE WHEN least(cc, sc) < 0.5 THEN 'FAIL' WHEN least(cc, sc) < 0.8 THEN 'WARN' ELSE 'PASS' END AS qc_flag,
+interface_fraction >= 0.01 AS localized_interface_call, diffuse_fraction >= 0.05 AS transition_zone_call, 'BRAND#1' AS "C_duplicates_removed", {r('n_spots * (cc * nc + sc * ns) * 8 / 1048576', '"selected_expression_dense_float64_MB"')}, a.v AS dominant_regime, {r('a.s', 'regime_stability')} FROM base, k, dr""")
+def sample_summary(s, d):
+    e, expr = fq.knn6(s, d), fq.expression(s, d)
+    m = fq.masked(s, d, e)
+    rows = sm.sample_summary(fq.spots(s, d), expr, fq.programs(s), m, e, ff.threshold_perturbation(m.select("sample", "spot", "c", "s", "r", "g"), e), _CHECKED)
+    return rows.select(*METRICS, "n_genes", "matrix_shape", "dense_float64_GB", "C_gene_set", "C_genes_present", "C_genes_missing", "C_gene_coverage", "S_genes_present", "S_gene_coverage", "unique_feature_names", "spatial_qc_status", "qc_notes", "qc_flag", "localized_interface_call", "transition_zone_call", "C_duplicates_removed", "selected_expression_dense_float64_MB", "dominant_regime", "regime_stability")
