@@ -54,6 +54,7 @@ def two_sided_p(n1: float, n2: float, u: float, z: float, ties: float) -> float
     n1, n2 = int(n1), int(n2)
     if min(n1, n2) > 8 or ties > 0:
         return None if z != z else min(1.0, math.erfc(z / math.sqrt(2)))
+    n1, n2 = min(n1, n2), max(n1, n2)  # both tails count, so the groups may change places
     ways = np.zeros((n1 + 1, n1 * n2 + 1))
     ways[0, 0] = 1  # ways[k, s]: k values of the first group exceed s values of the second in all
     for m in range(1, n1 + n2 + 1):
