@@ -7,7 +7,7 @@ written to the shared checkpoint folder. The number of rounds grows with the log
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,25 +67,27 @@ def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
     """Edges (sample, i, j) with the same components, of which each task makes a forest for every ``most`` edges or so."""
 
     def run(batches):
-        held, size = [], 0
+        held, size = {}, 0
 
         def made():
-            rows = pd.concat(held, ignore_index=True)
-            for sample, own in rows.groupby("sample", sort=False):
-                node, root = forest(own["i"].to_numpy(), own["j"].to_numpy())
+            for sample, parts in held.items():
+                node, root = forest(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                 apart = node != root
-                yield pd.DataFrame({"sample": sample, "i": node[apart], "j": root[apart]})
+                yield pa.RecordBatch.from_arrays([pa.array([sample] * int(apart.sum()), pa.string()), pa.array(node[apart]), pa.array(root[apart])], ["sample", "i", "j"])
 
         for b in batches:
-            held.append(b)
-            size += len(b)
+            names = b.column(0).dictionary_encode()
+            codes, i, j = names.indices.to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for code, sample in enumerate(names.dictionary.to_pylist()):
+                own = codes == code
+                held.setdefault(sample, []).append((i[own], j[own]))
+            size += b.num_rows
             if size >= most:
                 yield from made()
-                held, size = [], 0
-        if size:
-            yield from made()
+                held, size = {}, 0
+        yield from made()
 
-    return edges.where("sample is not null and i <> j").select("sample", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).mapInPandas(run, "sample string, i long, j long")
+    return edges.where("sample is not null and i is not null and j is not null and i <> j").select("sample", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).mapInArrow(run, "sample string, i long, j long")
 
 
 def components_by_sample(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,38 +37,47 @@ def radius_graph(spots: DataFrame, radius: float) -> DataFrame:
     return pairs.where(F.col("d2") <= round(radius * radius, 9)).select("sample", F.col("spot").alias("i"), F.col("other").alias("j"), F.sqrt("d2").alias("dist"))
 
 
-def knn(spots: DataFrame, k: int, per_cell: float = 4.0) -> DataFrame:
+def cell_sizes(at: DataFrame, crowd: float = 16.0, sampled: int = 50_000, levels: int = 24) -> DataFrame:
+    """(sample, n, w, cell): spots, extent, and the widest of the halved extents in whose cells a spot meets ``crowd`` others on average.
+    The average is over spots, so a dense region isn't hidden by empty space around it. Some ``sampled`` spots a sample are
+    counted; the cell bears on speed alone."""
+    shape = at.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("w"), F.min("x").alias("x0"), F.min("y").alias("y0"))
+    shape = durable(shape.withColumn("every", F.greatest(F.lit(1), F.floor(F.col("n") / sampled))))
+    few = at.join(shape, "sample").where("pmod(xxhash64(spot), every) = 0 and w > 0").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumn("size", F.col("w") / F.pow(F.lit(2.0), F.col("level")))
+    counts = few.groupBy("sample", "level", F.floor((F.col("x") - F.col("x0")) / F.col("size")).alias("cx"), F.floor((F.col("y") - F.col("y0")) / F.col("size")).alias("cy")).agg(F.count(F.lit(1)).alias("c"), F.first("every").alias("every"), F.first("size").alias("size"))
+    met = counts.groupBy("sample", "level").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c") * F.first("every")).alias("met"), F.first("size").alias("size"))
+    best = met.groupBy("sample").agg(F.coalesce(F.min_by("size", F.when(F.col("met") <= crowd, F.col("level"))), F.min("size")).alias("cell"))
+    return durable(shape.join(best, "sample", "left").select("sample", "n", "w", F.coalesce("cell", F.lit(1.0)).alias("cell")))
+
+
+def knn(spots: DataFrame, k: int, crowd: float = 16.0) -> DataFrame:
     """Each spot's k nearest others (sample, spot, other, d2, k), ties by spot; exact.
 
-    Cells hold ``per_cell`` spots on average. Spots whose k-th distance may lie beyond the probed cells are probed again
-    with twice as many rings, until the rings cover the sample's extent.
+    A spot meets the others in 5 x 5 cells. Spots whose k-th distance may lie beyond are tried again with cells twice as wide,
+    until the cells cover the sample; so a spot far out costs as many probes as any, and dense regions have narrow cells.
     """
     at = durable(spots.select("sample", "spot", "x", "y").where("x is not null and y is not null"))
-    w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    shape = at.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), w.alias("w"), h.alias("h"))
-    cell = F.sqrt(F.greatest(F.col("w") * F.col("h"), F.pow(F.greatest("w", "h") / F.col("n"), 2), F.lit(1e-12)) * per_cell / F.col("n"))
-    shape = durable(shape.select("sample", "n", cell.alias("cell"), F.greatest(F.ceil(F.col("w") / cell), F.ceil(F.col("h") / cell)).alias("extent")))
-    todo, ring, done = at.join(F.broadcast(shape), "sample"), 2, None
-    furthest = shape.agg(F.max("extent")).first()[0] or 0
+    shape = cell_sizes(at, crowd)
+    rounds = max(0, math.ceil(math.log2(max(1.0, shape.agg(F.max(F.col("w") / (2 * F.col("cell")))).first()[0] or 1.0))))
+    placed = durable(at.join(shape, "sample"))
+    todo, done, steps = placed, None, F.sequence(F.lit(-2), F.lit(2))
     by = Window.partitionBy("sample", "spot").orderBy("d2", "other")
-    others = at.join(F.broadcast(shape.select("sample", "cell")), "sample")
-    while True:
-        left = todo.select("sample", "spot", "x", "y", "n", "cell", "extent")
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        probe = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("*", (F.floor(F.col("x") / F.col("cell")) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / F.col("cell")) + F.col("dy")).alias("cy"))
-        right = others.select("sample", F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.floor(F.col("x") / F.col("cell")).alias("cx"), F.floor(F.col("y") / F.col("cell")).alias("cy"))
+    for turn in range(rounds + 1):
+        wide = F.col("cell") * F.lit(float(2**turn))
+        place = lambda c: F.floor(F.col(c) / wide)
+        probe = todo.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("*", (place("x") + F.col("dx")).alias("cx"), (place("y") + F.col("dy")).alias("cy"))
+        right = placed.select("sample", F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), place("x").alias("cx"), place("y").alias("cy"))
         near = probe.join(right, ["sample", "cx", "cy"]).where("other <> spot").withColumn("d2", _d2()).withColumn("k", F.row_number().over(by)).where(F.col("k") <= k)
-        known = durable(near.select("sample", "spot", "other", "d2", "k", "n", "cell", "extent"))
-        sure = known.groupBy("sample", "spot").agg(F.max("d2").alias("far"), F.max("k").alias("found"), F.first("n").alias("n"), F.first("cell").alias("cell"))
-        sure = sure.where((F.lit(ring) >= furthest) | (F.col("found") >= F.least(F.lit(k), F.col("n") - 1)) & (F.sqrt("far") < ring * F.col("cell"))).select("sample", "spot")
+        known = durable(near.select("sample", "spot", "other", "d2", "k", "n", "w", wide.alias("wide")))
+        sure = known.groupBy("sample", "spot").agg(F.max("d2").alias("far"), F.max("k").alias("found"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("wide").alias("wide"))
+        sure = sure.where((2 * F.col("wide") >= F.col("w")) | (F.col("found") >= F.least(F.lit(k), F.col("n") - 1)) & (F.sqrt("far") < 2 * F.col("wide"))).select("sample", "spot")
         part = known.join(sure, ["sample", "spot"], "left_semi").select("sample", "spot", "other", "d2", "k")
         done = part if done is None else done.unionByName(part)
-        if ring >= furthest:
-            return done
-        todo = durable(left.join(sure, ["sample", "spot"], "left_anti"))
-        if todo.isEmpty():
-            return done
-        ring *= 2
+        if turn < rounds:
+            todo = durable(todo.join(sure, ["sample", "spot"], "left_anti"))
+            if todo.isEmpty():
+                break
+    return done
 
 
 def knn_graph(spots: DataFrame, k: int, mutual: bool = False) -> DataFrame:
@@ -104,7 +115,7 @@ def edge_weights(edges: DataFrame, kind: str, sigma: float | None = None) -> Dat
     if kind == "inverse_distance":
         return edges.where("dist > 0").withColumn("weight", 1 / F.col("dist"))
     scale = edges.groupBy("sample").agg(F.lit(sigma).cast("double").alias("sigma") if sigma else F.expr("percentile(if(dist > 0, dist, null), 0.5)").alias("sigma"))
-    return edges.join(F.broadcast(scale), "sample").withColumn("weight", F.exp(-0.5 * F.pow(F.col("dist") / F.col("sigma"), 2))).drop("sigma")
+    return edges.join(scale, "sample").withColumn("weight", F.exp(-0.5 * F.pow(F.col("dist") / F.col("sigma"), 2))).drop("sigma")
 
 
 def nn_spacing(spots: DataFrame, multiplier: float = 1.25) -> DataFrame:

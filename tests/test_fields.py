@@ -1,5 +1,6 @@
 """Closed-form fixtures of the spatial operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,21 @@ def test_radius_and_knn_on_unit_grid(spark, grid):
     assert got == {(55, 45), (55, 54)}  # ties by spot
 
 
+def test_knn_of_uneven_places(spark):
+    """A dense crowd, a sparse field, far outliers, equal places and a sample of two, against all distances."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.normal(0, 0.01, (150, 2)), rng.uniform(-50, 50, (60, 2)), [[1e4, 1e4], [-1e4, 3.0]], np.repeat([[7.0, 7.0]], 5, 0)])
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("b", 0, 0.0, 0.0), ("b", 1, 9.0, 0.0), ("c", 5, 1.0, 1.0), ("d", 1, None, 2.0)]
+    got = {}
+    for r in neighbors.knn(spark.createDataFrame(rows, SPOT), 4).collect():
+        got.setdefault((r["sample"], r["spot"]), []).append((r["k"], r["other"]))
+    for i in range(len(xy)):
+        d = np.round(((xy - xy[i]) ** 2).sum(1), 9)
+        want = [j for j in np.lexsort((np.arange(len(xy)), d)) if j != i][:4]
+        assert [o for _, o in sorted(got["a", i])] == want
+    assert got["b", 0] == [(1, 1)] and ("c", 5) not in got and ("d", 1) not in got
+
+
 def test_lattice_offsets(spark):
     spots = spark.createDataFrame([("a", 0, 0, 0), ("a", 1, 0, 2), ("a", 2, 1, 1), ("a", 3, 1, 3)], "sample string, spot long, array_row int, array_col int")
     assert {(r["i"], r["j"]) for r in neighbors.lattice_graph(spots).collect()} == {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)}
