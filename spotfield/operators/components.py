@@ -64,7 +64,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
-    """Edges (sample, i, j) with the same components, of which each task makes a forest for every ``most`` edges or so."""
+    """Edges (sample, i, j) with the same components: a forest of every ``most`` edges or so, then, dealt by nodes to as many tasks as
+    that asks for, forests of these. A task holds ``most`` edges at a time, whatever the size."""
+    first = durable(_forests(edges, most))
+    tasks = -(-first.count() // most)
+    return _forests(first.repartitionByRange(tasks, "sample", "j") if tasks > 1 else first.coalesce(1), most)
+
+
+def _forests(edges: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         held, size = {}, 0
