@@ -36,7 +36,7 @@ from .common import durable, partitions, small_batches, to_bytes
 
 SMALL = 64
 #: Signatures that a task holds before it sends them off, and about how many a shard has.
-FLUSH, SHARD = 1_000_000, 2_000_000
+FLUSH, SHARD = 500_000, 2_000_000
 #: Sets of one signature that are compared in one task; more are cut into blocks.
 BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +101,7 @@ def _shingled(raws: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], n: int, most: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, most: int = 1 << 19) -> list[np.ndarray]:
     """Sorted hashes of the distinct ``n``-word sequences of each text; with fewer words the whole sequence is the only one; none
     without words. About ``most`` bytes are hashed at a time."""
     out, held, size = [], [], 0
