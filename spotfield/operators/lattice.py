@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +99,48 @@ def interface(cells: DataFrame, **quantiles: float) -> DataFrame:
     return cells.join(F.broadcast(thresholds(cells, **quantiles)), "sample").withColumn("interface", inside)
 
 
+def _lowest(at: list[int], squared: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the parabolas squared + (x - at)**2, ``at`` ascending: the indices of those that are least for some whole x, and from which x on each is."""
+    kept, since = [], []
+    for i, (q, high) in enumerate(zip(at, squared, strict=True)):
+        start = np.iinfo(np.int64).min
+        while kept:
+            p = at[kept[-1]]
+            start = (q * q - p * p + high - squared[kept[-1]]) // (2 * (q - p)) + 1
+            if start > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+            start = np.iinfo(np.int64).min
+        kept.append(i)
+        since.append(start)
+    return np.array(kept, np.int64), np.array(since, np.int64)
+
+
+def _nearest_in_row(cells: pd.DataFrame, sites: pd.DataFrame) -> pd.DataFrame:
+    if cells.empty or sites.empty:
+        return cells.assign(distance=0.0).head(0)
+    sites = sites.sort_values("at")
+    at, squared = sites["at"].to_numpy(np.int64), sites["d"].to_numpy(np.int64) ** 2
+    kept, since = _lowest(at.tolist(), squared.tolist())
+    col = cells["col"].to_numpy(np.int64)
+    least = kept[np.searchsorted(since, col, side="right") - 1]
+    return cells.assign(distance=np.sqrt((squared[least] + (col - at[least]) ** 2).astype(float)))
+
+
 def distance(cells: DataFrame) -> DataFrame:
     """Euclidean distance of every cell to the nearest interface cell; null in samples without one.
 
-    As a separable transform: first the nearest interface row in each column, then the nearest column.
+    As a separable transform, with work in proportion to the lattice: in each column the rows between two interface rows have one
+    of these as their nearest; in each row the lower envelope of the columns' parabolas, in whole numbers, tells the nearest.
+    A task holds one row of a lattice at a time.
     """
-    by_col = cells.where("interface").groupBy("sample", F.col("col").alias("at"), "height").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    column = by_col.select("sample", "at", "rows", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).select("sample", "at", "row", F.array_min(F.transform("rows", lambda x: F.abs(x - F.col("row")))).alias("d"))
-    near = cells.select(*CELL).join(column, ["sample", "row"]).groupBy(*CELL).agg(F.sqrt(F.min(F.col("d") * F.col("d") + (F.col("col") - F.col("at")) * (F.col("col") - F.col("at"))).cast("double")).alias("distance"))
+    by_col = cells.where("interface").groupBy("sample", F.col("col").alias("at"), "height").agg(F.sort_array(F.collect_set("row")).alias("rows"))
+    none = F.array(F.lit(None).cast("int"))
+    gaps = by_col.withColumn("gap", F.explode(F.arrays_zip(F.concat(none, F.col("rows")).alias("above"), F.concat(F.col("rows"), none).alias("below")))).select("sample", "at", "height", "gap.above", "gap.below")
+    first, last = F.coalesce("above", F.lit(0)), F.coalesce(F.col("below") - 1, F.col("height") - 1)
+    column = gaps.where(first <= last).withColumn("row", F.explode(F.sequence(first, last))).select("sample", "at", "row", F.least(F.col("row") - F.col("above"), F.col("below") - F.col("row")).alias("d"))
+    near = cells.select(*CELL).groupBy("sample", "row").cogroup(column.groupBy("sample", "row")).applyInPandas(_nearest_in_row, cells.select(*CELL, F.lit(0.0).alias("distance")).schema)
     return cells.join(near, CELL, "left")
 
 

@@ -47,6 +47,22 @@ def test_distance_and_transition(spark):
         assert r["distance"] == want and r["transition"] == (want is not None and want <= 2)
 
 
+def test_distance_against_all_interface_cells(spark):
+    rng, rows, marks = np.random.default_rng(5), [], {}
+    for sample, height, width, share in (("few", 9, 23, 0.02), ("many", 17, 8, 0.4), ("line", 1, 30, 0.1), ("pole", 30, 1, 0.1)):
+        inside = rng.random((height, width)) < 0.8
+        marked = inside & (rng.random((height, width)) < share)
+        inside[0, 0] = marked[0, 0] = True
+        marks[sample] = np.argwhere(marked)
+        rows += [(sample, int(i), int(j), height, width, bool(marked[i, j])) for i, j in np.argwhere(inside)]
+    df = spark.createDataFrame(rows, "sample string, row int, col int, height int, width int, interface boolean")
+    got = lt.distance(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["distance"] == math.sqrt(((marks[r["sample"]] - (r["row"], r["col"])) ** 2).sum(axis=1).min())
+    assert lt.distance(df.limit(0)).count() == 0
+
+
 def test_decay_integrals_and_empty(spark):
     rows = spark.createDataFrame([("p", float(d), math.exp(-0.5 * d) - 1e-9) for d in range(1, 41)], "sample string, distance double, r double")
     fit = lt.decay_fit(rows)
