@@ -75,5 +75,5 @@ def test_categorical_enrichment_in_both_ways(monkeypatch, samples, group):
 def test_no_replicate_leaves_a_task(spark, monkeypatch):
     """The registered queries make no relation of spots times replicates."""
     monkeypatch.setattr(permute, "replicates", None)
-    for name, rows in (("categorical_enrichment", 15),):
+    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15)):
         assert iq.QUERIES[name](spark, SF).count() == rows, name
