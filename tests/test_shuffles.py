@@ -72,8 +72,14 @@ def test_categorical_enrichment_in_both_ways(monkeypatch, samples, group):
     equal(*both_ways(monkeypatch, lambda: permute.categorical_enrichment(samples[0], samples[1], 30, 7, None if group is None else F.col(group))))
 
 
+def test_binary_association_in_both_ways(monkeypatch, samples):
+    spots, edges = samples
+    masks = spots.selectExpr("sample", "spot", "'m' as mask", "m as on").unionByName(spots.where("label is not null").selectExpr("sample", "spot", "'k' as mask", "k as on"))
+    equal(*both_ways(monkeypatch, lambda: permute.binary_association(masks, edges, [("m", "m"), ("m", "k"), ("k", "m")], 30, 7)))
+
+
 def test_no_replicate_leaves_a_task(spark, monkeypatch):
     """The registered queries make no relation of spots times replicates."""
     monkeypatch.setattr(permute, "replicates", None)
-    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15)):
+    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("binary_association", 6)):
         assert iq.QUERIES[name](spark, SF).count() == rows, name
