@@ -78,8 +78,22 @@ def test_binary_association_in_both_ways(monkeypatch, samples):
     equal(*both_ways(monkeypatch, lambda: permute.binary_association(masks, edges, [("m", "m"), ("m", "k"), ("k", "m")], 30, 7)))
 
 
+def test_interaction_null_in_both_ways(monkeypatch, samples):
+    spots, edges = samples
+    units = spots.select("sample", "spot", F.expr("c / 10").alias("cu"), F.expr("round(pmod(spot, 11) / 10, 9)").alias("su"))
+    equal(*both_ways(monkeypatch, lambda: permute.interaction_null(units, edges, 30, 7)))
+
+
+def test_samples_of_both_kinds_and_gaps(monkeypatch, samples):
+    spots, edges = samples
+    units = spots.select("sample", "spot", F.expr("c / 10").alias("cu"), F.expr("if(sample = 'a' and spot = 37, null, c / 10)").alias("su"))
+    whole = sorted(permute.interaction_null(units, edges, 9, 7).collect(), key=str)  # sample a has a gap, so it goes by relations
+    monkeypatch.setattr(shuffles, "HELD", 0)
+    equal(whole, sorted(permute.interaction_null(units, edges, 9, 7).collect(), key=str))
+
+
 def test_no_replicate_leaves_a_task(spark, monkeypatch):
     """The registered queries make no relation of spots times replicates."""
     monkeypatch.setattr(permute, "replicates", None)
-    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("binary_association", 6)):
+    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("binary_association", 6), ("interaction_null", 500)):
         assert iq.QUERIES[name](spark, SF).count() == rows, name
