@@ -78,6 +78,10 @@ def test_binary_association_in_both_ways(monkeypatch, samples):
     equal(*both_ways(monkeypatch, lambda: permute.binary_association(masks, edges, [("m", "m"), ("m", "k"), ("k", "m")], 30, 7)))
 
 
+def test_continuous_edge_stats_in_both_ways(monkeypatch, samples):
+    equal(*both_ways(monkeypatch, lambda: permute.continuous_edge_stats(samples[0], samples[1], [("c", "s"), ("c", "c")], 30, 7)))
+
+
 def test_interaction_null_in_both_ways(monkeypatch, samples):
     spots, edges = samples
     units = spots.select("sample", "spot", F.expr("c / 10").alias("cu"), F.expr("round(pmod(spot, 11) / 10, 9)").alias("su"))
@@ -95,5 +99,5 @@ def test_samples_of_both_kinds_and_gaps(monkeypatch, samples):
 def test_no_replicate_leaves_a_task(spark, monkeypatch):
     """The registered queries make no relation of spots times replicates."""
     monkeypatch.setattr(permute, "replicates", None)
-    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("binary_association", 6), ("interaction_null", 500)):
+    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("binary_association", 6), ("continuous_edge_stats", 2), ("interaction_null", 500)):
         assert iq.QUERIES[name](spark, SF).count() == rows, name
