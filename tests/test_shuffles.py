@@ -99,5 +99,5 @@ def test_samples_of_both_kinds_and_gaps(monkeypatch, samples):
 def test_no_replicate_leaves_a_task(spark, monkeypatch):
     """The registered queries make no relation of spots times replicates."""
     monkeypatch.setattr(permute, "replicates", None)
-    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("empirical_p", 15), ("binary_association", 6), ("binary_split_exports", 3), ("continuous_edge_stats", 2), ("interaction_null", 500)):
+    for name, rows in (("categorical_enrichment", 15), ("categorical_enrichment_in_strata", 15), ("empirical_p", 15), ("bh_fdr", 15), ("binary_association", 6), ("binary_split_exports", 3), ("continuous_edge_stats", 2), ("interaction_null", 500)):
         assert iq.QUERIES[name](spark, SF).count() == rows, name
