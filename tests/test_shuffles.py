@@ -78,6 +78,17 @@ def test_binary_association_in_both_ways(monkeypatch, samples):
     equal(*both_ways(monkeypatch, lambda: permute.binary_association(masks, edges, [("m", "m"), ("m", "k"), ("k", "m")], 30, 7)))
 
 
+def test_masks_with_missing_values_in_both_ways(monkeypatch, samples):
+    """They are shuffled in tasks, too; where nothing is known, nothing is counted."""
+    spots, edges = samples
+    masks = spots.selectExpr("sample", "spot", "'m' as mask", "if(spot % 5 = 0, null, m) as on").unionByName(spots.selectExpr("sample", "spot", "'k' as mask", "if(sample = 'b', null, label = 'x') as on"))
+    masks = masks.unionByName(spots.selectExpr("sample", "spot", "'never' as mask", "cast(null as boolean) as on")).unionByName(spots.selectExpr("sample", "spot", "'off' as mask", "if(spot = 0, null, false) as on"))
+    inside, relations = both_ways(monkeypatch, lambda: permute.binary_association(masks, edges, [("m", "m"), ("m", "k"), ("k", "m"), ("m", "never"), ("off", "m"), ("never", "never")], 30, 7))
+    equal(inside, relations)
+    assert {r["observed"] for r in inside if r["mask_a"] == "never"} == {None}
+    assert {r["observed"] for r in inside if r["mask_a"] == "off"} == {0.0}
+
+
 def test_continuous_edge_stats_in_both_ways(monkeypatch, samples):
     equal(*both_ways(monkeypatch, lambda: permute.continuous_edge_stats(samples[0], samples[1], [("c", "s"), ("c", "c")], 30, 7)))
 
