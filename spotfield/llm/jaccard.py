@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components, contracted
+from ..operators.components import joined
 from .common import durable, partitions, small_batches, to_bytes
 
 SMALL = 64
@@ -545,7 +545,7 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     where = sets.where("n_shingles > 0").select("set", "row")
     classes = sets.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     candidates = _candidates(rows, n, percent, finer, shards)
-    links, found, tried = None, None, None
+    found, tried = None, None
     for step, fine in ((_hubs, False), (_hubs, False), (_hubs, True), (_across, False)):
         if fine:
             candidates = _candidates(_texts(_open_sets(candidates, found, shards), placed, where), n, percent, None, shards)
@@ -554,9 +554,7 @@ def labelled(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         if pairs.isEmpty():
             continue
         tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
-        new = _verified(pairs, placed, where, n, percent)
-        links = new if links is None else links.unionByName(new)
-        found = durable(connected_components(contracted(links.select(F.lit("").alias("sample"), F.col("a").alias("i"), F.col("b").alias("j")))))
+        found = joined(found, _verified(pairs, placed, where, n, percent))
     if found is None:
         found = spark.createDataFrame([], "node long, component long")
     member = classes.join(found, classes["set"] == found["node"], "left").select("set", "first", F.coalesce("component", "set").alias("component"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from spotfield.llm import ann, compression, fingerprint, jaccard, lm, mixing, packing, queries, tokencount, urls
+from spotfield.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, piece string, score string"
 WORDS = "the of and to in is that it for on with as was be by this are or from at an not have which one you all were".split()
@@ -115,6 +116,15 @@ def test_jaccard_join_of_repeated_and_null_ids(spark):
     assert sorted(str(least[name[rows.index(k)]]) for k in kept) == sorted(map(str, least.values())) == sorted(str(i) for i, _ in kept)
 
 
+def test_few_links_need_no_rounds_over_all_partitions(spark, docs, monkeypatch):
+    """Each round is some ten shuffles; a task can hold the links."""
+    told = sorted(map(tuple, jaccard.components(docs).collect()))
+    assert len({c for _, _, c in told}) < len(told)
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "connected_components", None, raising=False)
+    assert sorted(map(tuple, jaccard.components(docs).collect())) == told
+
+
 def test_signatures_meet_whenever_sets_link():
     rng = np.random.default_rng(5)
     for size in (1, 3, 10, 50, 63, 64, 70, 84, 85, 127, 128, 200, 511, 512, 700):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spotfield.functions.numbers import with_bh
 from spotfield.operators import enrich, fields, neighbors, permute
-from spotfield.operators.components import components_by_sample, connected_components
+from spotfield.operators.components import components_by_sample, connected_components, joined
 
 SPOT = "sample string, spot long, x double, y double"
 
@@ -61,6 +61,19 @@ def test_components_agree_in_both_ways(spark):
     assert {c for _, c in stars} == {1, 51, 101, 151, 300}
 
 
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_links_join_earlier_components(spark, most):
+    """In one task, whatever partitions the links lie in, or by rounds; null ends, loops and repeated links don't matter."""
+    first = [(-i, -i - 1) for i in range(1, 90) if i % 30] + [(7, 7), (400, 300), (400, 300), (None, 5)]
+    more = [(-31, -30), (300, -90), (8, 9)]
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(7)
+    found = joined(joined(None, links(first), most), links(more), most)
+    told = {(r["node"], r["component"]) for r in connected_components(links(first + more), "a", "b").collect()}
+    assert {tuple(r) for r in found.collect()} == told and {c for _, c in told} == {-90, -60, 8}
+    assert most == 40 or found.rdd.getNumPartitions() == 1
+    assert joined(None, links(first).limit(0), most).count() == 0
+
+
 def test_constant_field_has_no_high_spots(spark):
     f = spark.createDataFrame([("a", i, 1.0) for i in range(5)], "sample string, spot long, v double")
     assert fields.high_mask(f, "v", 0.8, "high").where("high").count() == 0
